@@ -6,6 +6,7 @@ Every pattern is free of nested repetition, so its cost grows with the page only
 from __future__ import annotations
 
 import html as _html
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -133,11 +134,15 @@ def social_platform(href: Column, host_match: bool = False) -> Column:
     return chain
 
 
+def _belongs(platform: str, host_match: bool, href: Column) -> Column:
+    return social_platform(href, host_match) == platform
+
+
 def social_links(links: Column, host_match: bool = False) -> Column:
     """Map platform -> last link of that platform on the page; stays inside the record."""
     entries = []
     for platform in SOCIAL_PLATFORMS:
-        own = F.filter(links, lambda h, p=platform: social_platform(h, host_match) == p)
+        own = F.filter(links, partial(_belongs, platform, host_match))
         entries.append(F.struct(F.lit(platform).alias("key"), F.try_element_at(own, F.lit(-1)).alias("value")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 

@@ -6,6 +6,7 @@ numbering-plan database: it accepts some numbers in unassigned ranges.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -101,12 +102,10 @@ _ASCII_DIGITS = "0123456789" * 3
 
 
 def _plan_map(key: str, plans: Sequence[Plan]) -> Column:
-    """Plans as one literal map; Catalyst folds it into a constant."""
-    pairs: list[Column] = []
-    for p in plans:
-        pairs.append(F.lit(getattr(p, key)))
-        pairs.append(F.struct(*[F.lit(v).alias(n) for n, v in zip(Plan._fields, p)]))
-    return F.create_map(*pairs)
+    """Plans by ``key`` as one literal: a single node that Catalyst folds into a constant map."""
+    fields = ", ".join(f"{n}: {'int' if n.endswith('_len') else 'string'}" for n in Plan._fields)
+    text = json.dumps({getattr(p, key): p._asdict() for p in plans})
+    return F.from_json(F.lit(text), f"map<string, struct<{fields}>>")
 
 
 def _allowed(number: Column, plan: Column) -> Column:
@@ -153,32 +152,33 @@ def e164_all(
         raise ValueError(f"deny_mode: {deny_mode!r}")
     by_iso = _plan_map("iso", plans)
     by_cc = _plan_map("cc", plans)
-    home = F.try_element_at(by_iso, country)
 
     def read(raw: Column) -> Column:
+        """Digits, whether they start with a plus, and the plan of the home country."""
         ascii_only = F.translate(raw, _FOREIGN_DIGITS, _ASCII_DIGITS)
         return F.struct(
             F.regexp_replace(ascii_only, "[^0-9]", "").alias("d"),
             ascii_only.rlike(r"^[^0-9]*\+").alias("plus"),
+            F.try_element_at(by_iso, country).alias("home"),
         )
 
     def route(s: Column) -> Column:
         """International digits, if the number is written that way."""
-        d = s["d"]
+        d, idd = s["d"], s["home"]["idd"]
+        intl = F.when(s["plus"], d).when(_has_prefix(d, idd), _after(d, idd))
+        return F.struct(d.alias("d"), s["home"].alias("home"), intl.alias("intl"))
+
+    def abroad(s: Column) -> Column:
+        """Plan by calling code; the codes are prefix-free, so the first hit is the only one."""
+        hits = [F.try_element_at(by_cc, s["intl"].substr(1, n)) for n in (1, 2, 3)]
+        return F.struct(s["d"].alias("d"), s["home"].alias("home"), s["intl"].alias("intl"),
+                        F.coalesce(*hits).alias("there"))
+
+    def pick(s: Column) -> Column:
+        foreign = s["intl"].isNotNull()
         return F.struct(
-            d.alias("d"),
-            F.when(s["plus"], d)
-            .when(_has_prefix(d, home["idd"]), _after(d, home["idd"]))
-            .alias("intl"),
-        )
-
-    def plan_of(s: Column) -> Column:
-        """Plan and remaining digits; calling codes are prefix-free, so the first hit is the only one."""
-        abroad = F.coalesce(*[F.try_element_at(by_cc, s["intl"].substr(1, n)) for n in (1, 2, 3)])
-        plan = F.when(s["intl"].isNotNull(), abroad).otherwise(home)
-        return F.struct(
-            plan.alias("plan"),
-            F.when(s["intl"].isNotNull(), _after(s["intl"], abroad["cc"])).otherwise(s["d"]).alias("n"),
+            F.when(foreign, s["there"]).otherwise(s["home"]).alias("plan"),
+            F.when(foreign, _after(s["intl"], s["there"]["cc"])).otherwise(s["d"]).alias("n"),
         )
 
     def drop_cc(s: Column) -> Column:
@@ -197,20 +197,21 @@ def e164_all(
             F.when(_has_prefix(n, plan["trunk"]) & ~keep, rest).otherwise(n).alias("n"),
         )
 
-    def denied(s: Column) -> Column:
-        test = F.lit(False)
-        for part in deny:
-            if deny_mode == "anywhere":
-                test = test | F.contains(F.concat(s["plan"]["cc"], s["n"]), F.lit(part))
-            else:
-                test = test | F.startswith(s["n"], F.lit(part))
-        return test
+    def spell(s: Column) -> Column:
+        number = F.concat(F.lit("+"), s["plan"]["cc"], s["n"])
+        return F.struct(F.when(_allowed(s["n"], s["plan"]), number).alias("e164"), s["n"].alias("n"))
+
+    def usable(s: Column) -> Column:
+        if not deny:
+            return s["e164"].isNotNull()
+        if deny_mode == "anywhere":
+            return s["e164"].isNotNull() & ~s["e164"].rlike("|".join(deny))
+        return s["e164"].isNotNull() & ~s["n"].rlike("^(?:" + "|".join(deny) + ")")
 
     staged = F.array_distinct(candidates)
-    for step in (read, route, plan_of, drop_cc, drop_trunk):
+    for step in (read, route, abroad, pick, drop_cc, drop_trunk, spell):
         staged = F.transform(staged, step)
-    valid = F.filter(staged, lambda s: _allowed(s["n"], s["plan"]) & ~denied(s))
-    return F.array_distinct(F.transform(valid, lambda s: F.concat(F.lit("+"), s["plan"]["cc"], s["n"])))
+    return F.array_distinct(F.transform(F.filter(staged, usable), lambda s: s["e164"]))
 
 
 def e164(

@@ -157,20 +157,33 @@ def progress_counts(progress: DataFrame) -> DataFrame:
     return progress.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def progress_summary(progress: DataFrame, planned: int, before_start: int = 0) -> DataFrame:
-    """Outcome counters, share finished and hours left of a campaign of ``planned`` searches."""
-    counters = [
-        F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES
-    ] + [F.coalesce(F.sum("rows"), F.lit(0)).alias("result_rows")]
-    out = progress.agg(*counters)
+def progress_summary(progress: DataFrame, planned: int | DataFrame, before_start: int = 0) -> DataFrame:
+    """Outcome counters, share finished and hours left of a campaign.
+
+    ``planned`` is the number of searches planned, or the plan itself, which is then counted in the
+    same pass.
+    """
+    flags = progress.select("status", "rows", F.lit(0).alias("_p"))
+    if isinstance(planned, DataFrame):
+        none = F.lit(None)
+        flags = flags.unionAll(
+            planned.select(none.cast("string").alias("status"), none.cast("bigint").alias("rows"), F.lit(1).alias("_p"))
+        )
+    counters = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
+    size = F.sum("_p") if isinstance(planned, DataFrame) else F.lit(planned).cast("bigint")
+    out = flags.agg(
+        *counters,
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("result_rows"),
+        F.coalesce(size, F.lit(0)).alias("planned"),
+    )
     finished = F.col("success") + F.col("skipped")
     logged = finished + F.col("failed") + F.col("zero_results")
-    left = F.greatest(F.lit(planned) - logged, F.lit(0))
+    left = F.greatest(F.col("planned") - logged, F.lit(0).cast("bigint"))
     return out.withColumns(
         {
             "before_start": F.lit(before_start).cast("bigint"),
-            "percent_done": percentage(finished, F.lit(planned)),
-            "remaining": left.cast("bigint"),
+            "percent_done": percentage(finished, F.col("planned")),
+            "remaining": left,
             "eta_hours": F.round(left * F.lit(MINUTES_PER_SEARCH) / F.lit(60.0), 1),
         }
     )

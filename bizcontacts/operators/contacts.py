@@ -23,18 +23,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def explode_found(df: DataFrame, values: str, out: str) -> DataFrame:
+    """One row per element of ``values``; rows without any are dropped.
+
+    The outer form keeps Spark from adding a ``size(values) > 0`` filter, which it would push below
+    the extraction and so run every pattern twice.
+    """
+    return df.withColumn(out, F.explode_outer(values)).where(F.col(out).isNotNull()).drop(values)
+
+
 def text_emails(df: DataFrame, text: str, deny: Sequence[str] = EMAIL_DENY) -> DataFrame:
     """One row per e-mail and record."""
-    found = df.withColumn("_found", extract_emails(text, deny)).where(F.size("_found") > 0)
-    return found.withColumn("email", F.explode("_found")).drop("_found", text)
+    return explode_found(df.withColumn("_found", extract_emails(text, deny)).drop(text), "_found", "email")
 
 
 def text_phones(df: DataFrame, text: str, country: Column, deny: Sequence[str] = PHONE_DENY,
                 deny_mode: str = "anywhere") -> DataFrame:
     """One row per valid phone number and record."""
-    found = df.withColumn("_found", extract_phones(text, country, deny, deny_mode))
-    found = found.where(F.size("_found") > 0)
-    return found.withColumn("phone", F.explode("_found")).drop("_found", text)
+    found = df.withColumn("_found", extract_phones(text, country, deny, deny_mode)).drop(text)
+    return explode_found(found, "_found", "phone")
 
 
 def text_contacts(df: DataFrame, text: str, country: Column, email_deny: Sequence[str] = EMAIL_DENY,
@@ -53,10 +60,8 @@ def text_contacts(df: DataFrame, text: str, country: Column, email_deny: Sequenc
         F.transform("_emails", lambda v: F.struct(F.lit("email").alias("kind"), v.alias("value"))),
         F.transform("_phones", lambda v: F.struct(F.lit("phone").alias("kind"), v.alias("value"))),
     )
-    exploded = both.withColumn("_c", F.explode(kinds))
-    return exploded.withColumns({"kind": F.col("_c.kind"), "value": F.col("_c.value")}).drop(
-        "_c", "_emails", "_phones"
-    )
+    exploded = explode_found(both.withColumn("_all", kinds).drop("_emails", "_phones"), "_all", "_c")
+    return exploded.withColumns({"kind": F.col("_c.kind"), "value": F.col("_c.value")}).drop("_c")
 
 
 def contact_coverage(df: DataFrame, text: str, by: Sequence[str], country: Column,

@@ -19,6 +19,7 @@ from bizcontacts.functions.phones import (
     phone_candidates,
 )
 from bizcontacts.functions.text import utrim
+from bizcontacts.operators.contacts import explode_found
 
 
 def page_contacts(
@@ -68,9 +69,8 @@ def page_contacts(
 
 def page_links(pages: DataFrame, must_contain: str | None = None) -> DataFrame:
     """Distinct link targets per site, query part dropped."""
-    links = pages.select(
-        U.host("url").alias("host"), F.explode(H.hrefs(H.visible_markup("html"))).alias("_href")
-    )
+    found = pages.select(U.host("url").alias("host"), H.hrefs(H.visible_markup("html")).alias("_links"))
+    links = explode_found(found, "_links", "_href")
     if must_contain:
         links = links.where(F.contains("_href", F.lit(must_contain)))
     return links.select("host", U.drop_query("_href").alias("link")).distinct()
@@ -96,7 +96,7 @@ def site_emails(contacts: DataFrame) -> DataFrame:
     The long form keeps a site of any size spread out; nothing gathers a site in one row.
     """
     return (
-        contacts.select("host", F.explode("emails").alias("email"))
+        explode_found(contacts.select("host", "emails"), "emails", "email")
         .groupBy("host", "email")
         .agg(F.count(F.lit(1)).alias("n_pages"))
     )
