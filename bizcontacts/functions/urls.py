@@ -36,7 +36,7 @@ _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 def normalize_url(domain: Column | str) -> Column:
     """Trimmed, without closing slashes, with a scheme."""
     bare = F.regexp_replace(utrim(domain), "/+$", "")
-    return F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+    return F.regexp_replace(bare, "^(?!https?://)", "https://")
 
 
 def authority(url: Column | str) -> Column:

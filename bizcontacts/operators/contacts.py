@@ -12,15 +12,29 @@ from bizcontacts.functions.phones import PHONE_DENY, extract_phones
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by ``key`` only where the input has fewer partitions than the cluster has cores.
+    """Repartition by ``key`` only where the tables read are too small to occupy the cluster.
 
-    Pattern matching is work per byte, so a few large partitions leave cores idle; an input that
-    already has enough partitions is passed on without a shuffle.
+    A small file comes in few partitions and leaves cores idle in the work that follows. The size
+    is that of the tables read, as the optimizer knows it; input that fills one scan partition per
+    core is passed on as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    scan_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df if size >= cores * scan_bytes else df.repartition(cores, key)
+
+
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters may use without evaluating it again.
+
+    Spark pushes a filter below the projection that computes its column, with the whole expression
+    written out in it. It does not push below a generator, so the value passes through one.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
 
 
 def explode_found(df: DataFrame, values: str, out: str) -> DataFrame:
@@ -34,13 +48,15 @@ def explode_found(df: DataFrame, values: str, out: str) -> DataFrame:
 
 def text_emails(df: DataFrame, text: str, deny: Sequence[str] = EMAIL_DENY) -> DataFrame:
     """One row per e-mail and record."""
-    return explode_found(df.withColumn("_found", extract_emails(text, deny)).drop(text), "_found", "email")
+    some = df.where(F.contains(text, F.lit("@")))
+    return explode_found(some.withColumn("_found", extract_emails(text, deny)).drop(text), "_found", "email")
 
 
 def text_phones(df: DataFrame, text: str, country: Column, deny: Sequence[str] = PHONE_DENY,
                 deny_mode: str = "anywhere") -> DataFrame:
     """One row per valid phone number and record."""
-    found = df.withColumn("_found", extract_phones(text, country, deny, deny_mode)).drop(text)
+    some = df.where(F.col(text).rlike(r"(?U)\d"))
+    found = some.withColumn("_found", extract_phones(text, country, deny, deny_mode)).drop(text)
     return explode_found(found, "_found", "phone")
 
 

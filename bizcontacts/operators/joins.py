@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
+# Rows of one key a single task may get, and how many heavier keys are looked after at most.
+ROWS_PER_SLOT = 1_000_000
+HOT_KEYS = 10_000
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, take: dict[str, str]) -> DataFrame:
@@ -21,32 +25,40 @@ def lookup(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, take: dict[
     return df.withColumn("_lookup", key).join(narrowed, "_lookup", "left").drop("_lookup")
 
 
-def hot_values(df: DataFrame, key: str, top: int = HOT_KEYS) -> DataFrame:
-    """The ``top`` most frequent values of ``key``: at most ``top`` rows, whatever the data."""
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .orderBy(F.desc("count"), key)
-        .limit(top)
-        .select(key)
-    )
+def hot_keys(df: DataFrame, key: str, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Keys with more than ``rows_per_slot`` rows and the number of slots they are to be split into.
 
+    At most ``HOT_KEYS`` rows, the heaviest first, so the result may be broadcast.
+    """
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counted.where(F.col("_n") > rows_per_slot).orderBy(F.desc("_n"), key).limit(HOT_KEYS)
+    return heavy.select(key, F.ceil(F.col("_n") / rows_per_slot).cast("int").alias("_slots"))
 
-def left_join_unique(left: DataFrame, right: DataFrame, key: str, top: int = HOT_KEYS) -> DataFrame:
-    """Left join against a ``right`` side unique on ``key``, with frequent keys of ``left`` kept local.
 
-    Rows of the most frequent keys, and rows without a key, are joined by broadcasting the at most
-    ``top`` rows of ``right`` they can meet, so a hot key never gathers in one task; all other rows
-    take the ordinary join. Both parts together are exactly the plain left join.
+def left_join_unique(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str],
+                     rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Left join against a ``right`` side unique on ``key``, balanced for keys ``left`` repeats a lot.
+
+    A heavy key is split into as many slots as its row count asks for: each of its rows on the left
+    goes to the slot its ``spread_by`` columns hash to, and its one row on the right is copied to
+    all slots. Rows without a key are spread in the same way and match nothing. The result is
+    exactly the plain left join; ``right`` is evaluated once, ``left`` once more for its key counts.
     """
-    hot = F.broadcast(hot_values(left, key, top).withColumn("_hot", F.lit(True)))
-    marked = left.join(hot, key, "left")
-    local = F.coalesce(F.col("_hot"), F.col(key).isNull())
-    hot_side = F.broadcast(right.join(hot.select(key), key, "left_semi"))
-    near = marked.where(local).drop("_hot").join(hot_side, key, "left")
-    far = marked.where(~local).drop("_hot").join(right, key, "left")
-    return near.unionByName(far)
+    hot = F.broadcast(hot_keys(left, key, rows_per_slot))
+    scatter = F.xxhash64(*spread_by)
+    slotted = (
+        left.join(hot, key, "left")
+        .withColumn(
+            "_slot",
+            F.when(F.col(key).isNull(), scatter)
+            .when(F.col("_slots").isNotNull(), F.pmod(scatter, F.col("_slots").cast("bigint")))
+            .otherwise(F.lit(0).cast("bigint")),
+        )
+        .drop("_slots")
+    )
+    slots = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slots"), F.lit(1)).cast("bigint") - 1)
+    copied = right.join(hot, key, "left").withColumn("_slot", F.explode(slots)).drop("_slots")
+    return slotted.join(copied, [key, "_slot"], "left").drop("_slot")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

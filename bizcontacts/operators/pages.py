@@ -19,7 +19,7 @@ from bizcontacts.functions.phones import (
     phone_candidates,
 )
 from bizcontacts.functions.text import utrim
-from bizcontacts.operators.contacts import explode_found
+from bizcontacts.operators.contacts import explode_found, pin
 
 
 def page_contacts(
@@ -168,16 +168,16 @@ def flat_domain_contacts(domains: DataFrame, scraped_date: Column | None = None)
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
-    """Class of each page: consent, captcha, blocked, popup or content."""
-    marked = pages.select("page_id", "url", "html", H.visible_markup("html").alias("_markup"))
-    read = marked.withColumns(
+    """The pages with their class: consent, captcha, blocked, popup or content."""
+    read = pages.withColumn("_markup", H.visible_markup("html")).withColumns(
         {
             "_body": F.lower(H.markup_text(F.col("_markup"))),
             "_title": F.lower(F.regexp_extract("_markup", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)),
             "_url": F.lower("url"),
         }
     )
-    return read.select("page_id", "url", page_class("_url", "_title", "_body", "html").alias("page_class"))
+    classed = pin(read, "page_class", page_class("_url", "_title", "_body", "html"))
+    return classed.select(*pages.columns, "page_class")
 
 
 def crawl_outcomes(log: DataFrame) -> DataFrame:

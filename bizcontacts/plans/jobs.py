@@ -100,9 +100,10 @@ def merge_dedup(parts: Sequence[DataFrame], order_by: Sequence[str]) -> DataFram
     return cascade_dedup(merged, order_by)
 
 
-def enrich_leads(leads: DataFrame, contacts: DataFrame) -> DataFrame:
+def enrich_leads(leads: DataFrame, contacts: DataFrame,
+                 spread_by: Sequence[str] = ("business_name", "website")) -> DataFrame:
     """Leads with missing e-mails filled from page contacts of their website."""
-    return enrich_emails(leads, P.site_first_email(contacts))
+    return enrich_emails(leads, P.site_first_email(contacts), spread_by)
 
 
 def lead_report(leads: DataFrame) -> DataFrame:
@@ -129,8 +130,7 @@ def page_quality(pages: DataFrame) -> DataFrame:
 
 def content_pages(pages: DataFrame) -> DataFrame:
     """Pages that are content, with their class column dropped."""
-    classed = P.classify_pages(pages).where(F.col("page_class") == "content").select("page_id")
-    return pages.join(classed, "page_id", "left_semi")
+    return P.classify_pages(pages).where(F.col("page_class") == "content").drop("page_class")
 
 
 def crawl_quality(log: DataFrame) -> DataFrame:

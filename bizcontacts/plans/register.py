@@ -64,6 +64,10 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_contacts(pages, email_deny=DENY)
 
 
+def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.spread(load(spark, sf_dir, "leads_raw"), "ord")
+
+
 def lang_country(c: str = "lang") -> Column:
     return F.when(F.col(c) == "en", F.lit("US")).otherwise(F.upper(c))
 
@@ -196,12 +200,12 @@ def q_social_links(spark, sf):
 
 
 def q_page_class(spark, sf):
-    return P.classify_pages(T.spread(load(spark, sf, "pages_contact"), "page_id")).drop("url")
+    return P.classify_pages(T.spread(load(spark, sf, "pages_contact"), "page_id")).select("page_id", "page_class")
 
 
 def q_enrich_email(spark, sf):
     leads = load(spark, sf, "page_leads")
-    return J.enrich_leads(leads, contacts(spark, sf))
+    return J.enrich_leads(leads, contacts(spark, sf), ["ord"])
 
 
 # --- crawl log ---------------------------------------------------------------------------------
@@ -217,53 +221,53 @@ def q_crawl_errors(spark, sf):
 # --- leads -------------------------------------------------------------------------------------
 
 def q_lead_dedup(spark, sf):
-    kept = cascade_dedup(load(spark, sf, "leads_raw"), ["ord"])
+    kept = cascade_dedup(leads(spark, sf), ["ord"])
     return kept.select("ord", "business_name", "phone", "address", "city", "rating")
 
 
 def q_dedup_report(spark, sf):
-    leads = load(spark, sf, "leads_raw")
-    return dedup_report(leads, cascade_dedup(leads, ["ord"]))
+    table = leads(spark, sf)
+    return dedup_report(table, cascade_dedup(table, ["ord"]))
 
 
 def q_merge_dedup(spark, sf):
-    leads = load(spark, sf, "leads_raw")
-    older = leads.where(F.col("ord") % 2 == 0).drop("rating")
-    newer = leads.where(F.col("ord") % 2 == 1)
+    table = leads(spark, sf)
+    older = table.where(F.col("ord") % 2 == 0).drop("rating")
+    newer = table.where(F.col("ord") % 2 == 1)
     kept = J.merge_dedup([older, newer], ["ord"])
     return kept.select("ord", "business_name", "phone", "address", "rating")
 
 
 def q_lead_stats(spark, sf):
-    return S.lead_stats(load(spark, sf, "leads_raw"))
+    return S.lead_stats(leads(spark, sf))
 
 
 def q_present_mask(spark, sf):
-    leads = load(spark, sf, "leads_raw")
-    return leads.select(
+    table = leads(spark, sf)
+    return table.select(
         "ord", *[X.is_present(c).alias(f"has_{c}") for c in ("business_name", "phone", "email", "address")]
     )
 
 
 def q_export_projection(spark, sf):
-    leads = load(spark, sf, "leads_raw").drop("rating", "website")
+    table = leads(spark, sf).drop("rating", "website")
     at = F.to_timestamp(F.lit(STAMP))
-    stamped = export_columns(stamp(leads, "ice cream", "Halle (Saale)", at))
+    stamped = export_columns(stamp(table, "ice cream", "Halle (Saale)", at))
     name = result_name(F.col("search_city"), F.col("search_keyword"), F.col("scraped_date"))
     return stamped.withColumns({"result": name, "scraped_date": F.date_format("scraped_date", "yyyy-MM-dd HH:mm:ss")})
 
 
 def q_topk_per_search(spark, sf):
-    leads = load(spark, sf, "leads_raw").select("ord", "search_city", "search_keyword", "rating")
-    return J.limit_results(leads, [F.col("ord")], 20)
+    table = leads(spark, sf).select("ord", "search_city", "search_keyword", "rating")
+    return J.limit_results(table, [F.col("ord")], 20)
 
 
 def q_top_cities(spark, sf):
-    return S.top_by_rows(load(spark, sf, "leads_raw"), ["city"], 20)
+    return S.top_by_rows(leads(spark, sf), ["city"], 20)
 
 
 def q_rows_per_search(spark, sf):
-    return S.row_counts(load(spark, sf, "leads_raw"), ["search_city", "search_keyword"], "n_rows")
+    return S.row_counts(leads(spark, sf), ["search_city", "search_keyword"], "n_rows")
 
 
 # --- campaign ----------------------------------------------------------------------------------

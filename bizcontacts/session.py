@@ -24,6 +24,9 @@ def local_session(cpus: int | str = 8, app: str = "bizcontacts", shuffle: int |
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # no call-site capture per column expression: it makes up most of the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle or cpus))
     )
