@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizcontacts.schemas import LEAD_FILE_SCHEMA, LEAD_SCHEMA, NA_WORDS, TIME_FORMAT
+from bizcontacts.functions.text import sanitize_key
+from bizcontacts.schemas import LEAD_SCHEMA, NA_WORDS, TIME_FORMAT
 
 # Where a row stands: sorting by these three columns gives file order, then line order.
 LINE_ORDER = ("_file", "_block", "_line")
-_CORRUPT = "_corrupt"
+_OVERFLOW = "_overflow"
+_GLOB_SIGNS = re.compile(r"([\\\[\]{}*?])")
 
 
 def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -40,7 +44,10 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines = []
         for path in batch["path"]:
             try:
-                store, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                if path.startswith(("file:", "/")):
+                    store, inner = fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+                else:
+                    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
                 with store.open_input_stream(inner) as stream:
                     head = b""
                     while b"\n" not in head:
@@ -92,40 +99,48 @@ def _typed(df: DataFrame) -> DataFrame:
 
 def read_leads(spark: SparkSession, patterns: Sequence[str] | str, multiline: bool = True,
                rejects: bool = False) -> DataFrame:
-    """All lead files as one DataFrame with the columns they have, typed, plus ``LINE_ORDER``.
+    """All lead files matching the patterns; see ``read_lead_files``."""
+    files, _ = expand_paths(spark, [patterns] if isinstance(patterns, str) else patterns)
+    return read_lead_files(spark, files, multiline, rejects)
+
+
+def read_lead_files(spark: SparkSession, files: Sequence[str], multiline: bool = True,
+                    rejects: bool = False) -> DataFrame:
+    """Lead files as one DataFrame with the columns they have, typed, plus ``LINE_ORDER`` and the
+    file time ``_mtime``.
 
     Files are grouped by header, so a file may lack columns or order them differently; missing ones
     become null. Nothing is inferred: a phone keeps its plus sign, a postal code its leading zero.
-    Rows that do not fit their header are dropped, or returned alone with ``rejects``. ``multiline``
-    allows line breaks inside quotes but reads each file in one task; switch it off for large files.
+    A short row is filled with nulls. A row with more fields than its header is dropped, or returned
+    alone with ``rejects``. ``multiline`` allows line breaks inside quotes but reads each file in
+    one task; switch it off for large files.
     """
-    files, _ = expand_paths(spark, [patterns] if isinstance(patterns, str) else patterns)
     parts = []
     for header, members in file_layouts(spark, files).items() if files else ():
-        schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(header)])
+        names = [f"_c{i}" if not c or c in header[:i] else c for i, c in enumerate(header)]
         raw = (
-            spark.read.schema(schema.add(_CORRUPT, T.StringType()))
+            spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*names, _OVERFLOW]]))
             .option("header", True)
             .option("multiLine", multiline)
             .option("escape", '"')
             .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
             .option("ignoreCorruptFiles", True)
             .option("ignoreMissingFiles", True)
-            .csv(members)
+            .csv([_GLOB_SIGNS.sub(r"\\\1", m) for m in members])
         )
         placed = raw.select(
             "*",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_line"),
+            F.col("_metadata.file_modification_time").alias("_mtime"),
         )
-        bad = F.col(_CORRUPT).isNotNull()
-        parts.append(placed.where(bad) if rejects else _typed(placed.where(~bad).drop(_CORRUPT)))
+        fits = F.col(_OVERFLOW).isNull()
+        parts.append(_typed(placed.where(fits).drop(_OVERFLOW)) if not rejects else placed.where(~fits))
     if not parts:
-        order = [T.StructField("_file", T.StringType()), T.StructField("_block", T.LongType()),
-                 T.StructField("_line", T.LongType())]
-        return spark.createDataFrame([], T.StructType(LEAD_FILE_SCHEMA.fields + order))
+        place = [("_file", T.StringType()), ("_block", T.LongType()), ("_line", T.LongType()), ("_mtime", T.TimestampType())]
+        fields = LEAD_SCHEMA.fields + [T.StructField(n, t) for n, t in place]
+        return spark.createDataFrame([], T.StructType(fields))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -133,34 +148,22 @@ def read_leads(spark: SparkSession, patterns: Sequence[str] | str, multiline: bo
 
 
 def result_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """One row per result file below ``root``: file, mtime, rows, and the search it belongs to.
+    """One row per result file and search below ``root``: city_key, keyword_key, file, mtime, rows.
 
     The search is read from the rows' own columns, not from the file name, so a keyword that starts
     like another one is never mistaken for it.
     """
-    from bizcontacts.functions.text import sanitize_key
-
-    files = (
+    listed = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("mode", "PERMISSIVE")
         .format("binaryFile")
         .load(root)
         .select("path")
     )
-    leads = read_leads(spark, [r["path"] for r in files.collect()])
-    mtimes = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .format("binaryFile")
-        .load(root)
-        .select(F.col("path").alias("_file"), F.col("modificationTime").alias("mtime"))
-    )
-    counted = leads.groupBy("_file", "search_city", "search_keyword").agg(F.count(F.lit(1)).alias("rows"))
-    return counted.join(mtimes, "_file").select(
+    leads = read_lead_files(spark, sorted(r["path"] for r in listed.collect()))
+    return leads.groupBy(
         sanitize_key("search_city").alias("city_key"),
         sanitize_key("search_keyword").alias("keyword_key"),
         F.col("_file").alias("file"),
-        "mtime",
-        "rows",
-    )
+        F.col("_mtime").alias("mtime"),
+    ).agg(F.count(F.lit(1)).alias("rows"))

@@ -55,14 +55,14 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     pair = r"^\s+([A-Za-z-]+):\s*(.*?)\s*$"
     word = F.regexp_extract("line", pair, 2)
-    quoted = F.regexp_extract(word, r"""^(?:"([^"]*)"|'([^']*)').*$""", 1)
+    double, single = (F.regexp_extract(word, f"^{q}([^{q}]*){q}", 1) for q in "\"'")
     bare = F.regexp_replace(word, r"\s+#.*$", "")
     return (
         lines.withColumn("business_type", F.last(opened, ignorenulls=True).over(upto))
         .select(
             "business_type",
             blank_to_null(F.regexp_extract("line", pair, 1)).alias("language"),
-            F.when(word.startswith('"'), quoted).otherwise(bare).alias("keyword"),
+            F.when(word.startswith('"'), double).when(word.startswith("'"), single).otherwise(bare).alias("keyword"),
         )
         .where(F.col("business_type").isNotNull() & F.col("language").isNotNull())
     )
