@@ -6,7 +6,6 @@ Every pattern is free of nested repetition, so its cost grows with the page only
 from __future__ import annotations
 
 import html as _html
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +14,6 @@ from pyspark.sql.types import StringType
 
 from bizcontacts.functions.emails import empty_strings
 from bizcontacts.functions.text import blank_to_null, col, utrim
-from bizcontacts.functions.urls import host
 
 # Character references decoded in page text; &amp; comes last.
 ENTITIES = (
@@ -104,7 +102,10 @@ def description(markup: Column) -> Column:
 def hrefs(markup: Column) -> Column:
     """Link targets of all anchors in page order."""
     tags = F.regexp_extract_all(markup, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
-    return F.transform(tags, lambda q: decode_entities(q.substr(F.lit(2), F.length(q) - 2)))
+    target = "substr(q, 2, length(q) - 2)"
+    for reference, sign in ENTITIES:
+        target = f"""replace({target}, '{reference}', {'"' + sign + '"' if sign == "'" else "'" + sign + "'"})"""
+    return F.call_function("transform", tags, F.expr(f"q -> {target}"))
 
 
 def address_snippet(text: Column) -> Column:
@@ -118,33 +119,34 @@ def address_snippet(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def social_platform(href: Column, host_match: bool = False) -> Column:
-    """Platform a link belongs to. The plain test looks for the domain anywhere in the link;
-    ``host_match`` compares the host instead."""
-    chain = F.lit(None).cast("string")
-    for platform, domains in reversed(SOCIAL_PLATFORMS.items()):
-        hit = F.lit(False)
-        for d in domains:
-            if host_match:
-                h = host(href)
-                hit = hit | (h == d) | h.endswith("." + d)
-            else:
-                hit = hit | F.contains(href, F.lit(d))
-        chain = F.when(hit, F.lit(platform)).otherwise(chain)
-    return chain
+# Host of a link, as SQL over a lambda variable h.
+_HOST_OF_H = "lower(regexp_replace(regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$', ''))"
 
 
-def _belongs(platform: str, host_match: bool, href: Column) -> Column:
-    return social_platform(href, host_match) == platform
+def _on_platform(platform: str, host_match: bool) -> str:
+    tests = []
+    for d in SOCIAL_PLATFORMS[platform]:
+        if host_match:
+            tests.append(f"{_HOST_OF_H} = '{d}' or endswith({_HOST_OF_H}, '.{d}')")
+        else:
+            tests.append(f"contains(h, '{d}')")
+    return "(" + " or ".join(tests) + ")"
 
 
 def social_links(links: Column, host_match: bool = False) -> Column:
-    """Map platform -> last link of that platform on the page; stays inside the record."""
-    entries = []
+    """Map platform -> last link of that platform on the page; stays inside the record.
+
+    A link belongs to the first platform it fits. The plain test looks for the domain anywhere in
+    the link, so ``netflix.com`` counts for ``x.com``; ``host_match`` compares the host instead.
+    """
+    entries, earlier = [], []
     for platform in SOCIAL_PLATFORMS:
-        own = F.filter(links, partial(_belongs, platform, host_match))
+        test = _on_platform(platform, host_match)
+        alone = " and ".join([test, *[f"not {e}" for e in earlier]])
+        earlier.append(test)
+        own = F.call_function("filter", links, F.expr(f"h -> {alone}"))
         entries.append(F.struct(F.lit(platform).alias("key"), F.try_element_at(own, F.lit(-1)).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    return F.map_from_entries(F.call_function("filter", F.array(*entries), F.expr("e -> e.value is not null")))
 
 
 def tel_texts(markup: Column) -> Column:

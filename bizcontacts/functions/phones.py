@@ -108,24 +108,48 @@ def _plan_map(key: str, plans: Sequence[Plan]) -> Column:
     return F.from_json(F.lit(text), f"map<string, struct<{fields}>>")
 
 
-def _allowed(number: Column, plan: Column) -> Column:
-    size = F.length(number)
-    fourth = plan["fourth"]
-    return F.coalesce(
-        (size >= plan["min_len"])
-        & (size <= plan["max_len"])
-        & F.contains(plan["lead"], number.substr(1, 1))
-        & ((fourth == "") | F.contains(fourth, number.substr(4, 1))),
-        F.lit(False),
+def _allowed(number: str, plan: str) -> str:
+    """SQL test: length and leading digits fit the plan."""
+    return (
+        f"coalesce(length({number}) between {plan}.min_len and {plan}.max_len"
+        f" and contains({plan}.lead, substr({number}, 1, 1))"
+        f" and ({plan}.fourth = '' or contains({plan}.fourth, substr({number}, 4, 1))), false)"
     )
 
 
-def _after(number: Column, prefix: Column) -> Column:
-    return F.substr(number, F.length(prefix) + 1)
+def _after(number: str, prefix: str) -> str:
+    return f"substr({number}, length({prefix}) + 1)"
 
 
-def _has_prefix(number: Column, prefix: Column) -> Column:
-    return (prefix != "") & F.startswith(number, prefix)
+def _has_prefix(number: str, prefix: str) -> str:
+    return f"({prefix} <> '' and startswith({number}, {prefix}))"
+
+
+# The steps from a raw number (fields raw, home) to its spelling, each one pass over the array. They
+# are written as SQL lambdas: one text is one call into the JVM, where each Column operation is one.
+_READ = f"""s -> named_struct('home', s.home,
+    'plus', translate(s.raw, '{_FOREIGN_DIGITS}', '{_ASCII_DIGITS}') rlike '^[^0-9]*[+]',
+    'd', regexp_replace(translate(s.raw, '{_FOREIGN_DIGITS}', '{_ASCII_DIGITS}'), '[^0-9]', ''))"""
+
+# international digits, if the number is written that way
+_ROUTE = f"""s -> named_struct('home', s.home, 'd', s.d, 'intl', case when s.plus then s.d
+    when {_has_prefix('s.d', 's.home.idd')} then {_after('s.d', 's.home.idd')} end)"""
+
+_PICK = f"""s -> named_struct('plan', if(s.intl is not null, s.there, s.home),
+    'n', if(s.intl is not null, {_after('s.intl', 's.there.cc')}, s.d))"""
+
+# a calling code written without plus is dropped where only the rest is a valid number
+_DROP_CC = f"""s -> named_struct('plan', s.plan, 'n', if({_has_prefix('s.n', 's.plan.cc')}
+    and not {_allowed('s.n', 's.plan')} and {_allowed(_after('s.n', 's.plan.cc'), 's.plan')},
+    {_after('s.n', 's.plan.cc')}, s.n))"""
+
+# a trunk prefix goes, unless only the number with it is valid
+_DROP_TRUNK = f"""s -> named_struct('plan', s.plan, 'n', if({_has_prefix('s.n', 's.plan.trunk')}
+    and not ({_allowed('s.n', 's.plan')} and not {_allowed(_after('s.n', 's.plan.trunk'), 's.plan')}),
+    {_after('s.n', 's.plan.trunk')}, s.n))"""
+
+_SPELL = f"""s -> named_struct('n', s.n,
+    'e164', if({_allowed('s.n', 's.plan')}, concat('+', s.plan.cc, s.n), null))"""
 
 
 def phone_candidates(text: Column | str) -> Column:
@@ -150,68 +174,24 @@ def e164_all(
     """
     if deny_mode not in ("anywhere", "after_cc"):
         raise ValueError(f"deny_mode: {deny_mode!r}")
-    by_iso = _plan_map("iso", plans)
+    home = F.try_element_at(_plan_map("iso", plans), country)
     by_cc = _plan_map("cc", plans)
 
-    def read(raw: Column) -> Column:
-        """Digits, whether they start with a plus, and the plan of the home country."""
-        ascii_only = F.translate(raw, _FOREIGN_DIGITS, _ASCII_DIGITS)
-        return F.struct(
-            F.regexp_replace(ascii_only, "[^0-9]", "").alias("d"),
-            ascii_only.rlike(r"^[^0-9]*\+").alias("plus"),
-            F.try_element_at(by_iso, country).alias("home"),
-        )
-
-    def route(s: Column) -> Column:
-        """International digits, if the number is written that way."""
-        d, idd = s["d"], s["home"]["idd"]
-        intl = F.when(s["plus"], d).when(_has_prefix(d, idd), _after(d, idd))
-        return F.struct(d.alias("d"), s["home"].alias("home"), intl.alias("intl"))
+    def step(values: Column, text: str, function: str = "transform") -> Column:
+        return F.call_function(function, values, F.expr(text))
 
     def abroad(s: Column) -> Column:
-        """Plan by calling code; the codes are prefix-free, so the first hit is the only one."""
+        """Adds the plan by calling code; the codes are prefix-free, so the first hit is the only one."""
         hits = [F.try_element_at(by_cc, s["intl"].substr(1, n)) for n in (1, 2, 3)]
-        return F.struct(s["d"].alias("d"), s["home"].alias("home"), s["intl"].alias("intl"),
-                        F.coalesce(*hits).alias("there"))
-
-    def pick(s: Column) -> Column:
-        foreign = s["intl"].isNotNull()
-        return F.struct(
-            F.when(foreign, s["there"]).otherwise(s["home"]).alias("plan"),
-            F.when(foreign, _after(s["intl"], s["there"]["cc"])).otherwise(s["d"]).alias("n"),
-        )
-
-    def drop_cc(s: Column) -> Column:
-        """A calling code written without ``+`` is dropped where only the rest is a valid number."""
-        n, plan = s["n"], s["plan"]
-        rest = _after(n, plan["cc"])
-        bare = _has_prefix(n, plan["cc"]) & ~_allowed(n, plan) & _allowed(rest, plan)
-        return F.struct(plan.alias("plan"), F.when(bare, rest).otherwise(n).alias("n"))
-
-    def drop_trunk(s: Column) -> Column:
-        n, plan = s["n"], s["plan"]
-        rest = _after(n, plan["trunk"])
-        keep = _allowed(n, plan) & ~_allowed(rest, plan)
-        return F.struct(
-            plan.alias("plan"),
-            F.when(_has_prefix(n, plan["trunk"]) & ~keep, rest).otherwise(n).alias("n"),
-        )
-
-    def spell(s: Column) -> Column:
-        number = F.concat(F.lit("+"), s["plan"]["cc"], s["n"])
-        return F.struct(F.when(_allowed(s["n"], s["plan"]), number).alias("e164"), s["n"].alias("n"))
-
-    def usable(s: Column) -> Column:
-        if not deny:
-            return s["e164"].isNotNull()
-        if deny_mode == "anywhere":
-            return s["e164"].isNotNull() & ~s["e164"].rlike("|".join(deny))
-        return s["e164"].isNotNull() & ~s["n"].rlike("^(?:" + "|".join(deny) + ")")
-
-    staged = F.array_distinct(candidates)
-    for step in (read, route, abroad, pick, drop_cc, drop_trunk, spell):
-        staged = F.transform(staged, step)
-    return F.array_distinct(F.transform(F.filter(staged, usable), lambda s: s["e164"]))
+        return s.withField("there", F.coalesce(*hits))
+
+    raw = F.transform(F.array_distinct(candidates), lambda c: F.struct(c.alias("raw"), home.alias("home")))
+    routed = F.transform(step(step(raw, _READ), _ROUTE), abroad)
+    spelt = step(step(step(step(routed, _PICK), _DROP_CC), _DROP_TRUNK), _SPELL)
+    parts = "|".join(deny)
+    denied = {"anywhere": f"s.e164 rlike '{parts}'", "after_cc": f"s.n rlike '^({parts})'"}[deny_mode]
+    kept = step(spelt, f"s -> s.e164 is not null and not ({denied if deny else 'false'})", "filter")
+    return F.array_distinct(step(kept, "s -> s.e164"))
 
 
 def e164(

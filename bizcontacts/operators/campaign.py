@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ MINUTES_PER_SEARCH = 2.5
 _BLOCK = 10_000
 
 
+class Variant(NamedTuple):
+    """Settings of one kind of campaign."""
+
+    groups: tuple[str, ...]
+    min_rows: int
+    radius_km: int | None
+    find_emails: bool
+
+
+# Term groups, rows that make a search done, radius and e-mail search per campaign.
+VARIANTS = {
+    "western_europe": Variant(("de", "it", "es", "pt", "nl", "fr"), 2, None, False),
+    "poland": Variant(("pl",), 2, None, True),
+    "dutch_spain": Variant(("es", "nl"), 2, 20, False),
+    "czech_slovak_nordic": Variant(("cs", "sk", "da", "sv", "no"), 2, 20, True),
+    "eastern_europe": Variant(("cs", "sk", "hu", "sl", "hr", "sr", "sq", "mk", "bg", "ro", "el"), 2, 20, False),
+    "english_friendly": Variant(("uk", "ie", "nl", "se", "no", "dk"), 2, 20, True),
+    "top_tier": Variant(("se", "nl", "dk", "fi", "ie", "mt", "pl"), 20, 20, True),
+    "german_food": Variant(("de",), 2, None, True),
+}
+
+
 def _field(line: Column, n: int) -> Column:
     return utrim(F.try_element_at(F.split(line, r"\|"), F.lit(n)))
 
@@ -121,6 +144,26 @@ def done_searches(files: DataFrame, min_rows: int = MIN_ROWS_DONE) -> DataFrame:
     return latest_results(files).where(F.col("rows") >= min_rows)
 
 
+def skip_check(plan: DataFrame, latest: DataFrame, min_rows: int = MIN_ROWS_DONE) -> DataFrame:
+    """The plan with ``action`` (SKIP or SCRAPE), ``row_count`` and ``reason`` of each search."""
+    known = latest.select("city_key", "keyword_key", F.col("rows").alias("_rows"))
+    n = F.col("_rows").cast("string")
+    enough = F.coalesce(F.col("_rows") >= min_rows, F.lit(False))
+    return (
+        plan.join(known, ["city_key", "keyword_key"], "left")
+        .withColumns(
+            {
+                "action": F.when(enough, F.lit("SKIP")).otherwise(F.lit("SCRAPE")),
+                "row_count": F.coalesce("_rows", F.lit(0).cast("bigint")),
+                "reason": F.when(F.col("_rows").isNull(), F.lit("No existing data"))
+                .when(enough, F.concat(F.lit("Already scraped ("), n, F.lit(" results)")))
+                .otherwise(F.concat(F.lit("Low results ("), n, F.lit(")"))),
+            }
+        )
+        .drop("_rows")
+    )
+
+
 def todo(plan: DataFrame, done: DataFrame) -> DataFrame:
     """Planned searches without a finished result; ``plan`` needs the key columns."""
     return plan.join(done.select("city_key", "keyword_key"), ["city_key", "keyword_key"], "left_anti")

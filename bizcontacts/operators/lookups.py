@@ -32,23 +32,20 @@ def translate_keyword(df: DataFrame, keywords: DataFrame, business_type: str, la
     )
 
 
-def keyword_catalog(keywords: DataFrame) -> DataFrame:
-    """Languages per business type."""
-    found = keywords.groupBy("business_type").agg(F.collect_set("language").alias("_langs"))
+def keyword_catalog(keywords: DataFrame, show: str = "en") -> DataFrame:
+    """Per business type, in one pass: its languages, their number, and the keyword to show for the
+    language ``show``, with the English one and ``-`` to fall back on."""
+    def of(code: str) -> Column:
+        return blank_to_null(F.max(F.when(F.col("language") == code, F.col("keyword"))))
+
+    found = keywords.groupBy("business_type").agg(
+        F.collect_set("language").alias("_langs"), F.coalesce(of(show), of("en"), F.lit("-")).alias("shown")
+    )
     return found.select(
         "business_type",
         F.array_join(F.sort_array("_langs"), ", ").alias("languages"),
         F.size("_langs").alias("n_languages"),
-    )
-
-
-def keyword_display(keywords: DataFrame, language: str) -> DataFrame:
-    """One keyword per type for display: that of ``language``, else English, else ``-``."""
-    def of(code: str) -> Column:
-        return blank_to_null(F.max(F.when(F.col("language") == code, F.col("keyword"))))
-
-    return keywords.groupBy("business_type").agg(
-        F.coalesce(of(language), of("en"), F.lit("-")).alias("keyword")
+        "shown",
     )
 
 

@@ -47,9 +47,9 @@ def page_contacts(
     )
     markup, text, links, country = (F.col(c) for c in ("_markup", "_text", "_links", "_country"))
 
-    def from_texts(texts: Column) -> Column:
-        cands = F.flatten(F.transform(texts, phone_candidates))
-        return F.try_element_at(e164_all(cands, country, listing_phone_deny), F.lit(1))
+    # tel: links come first, so the first valid number is theirs if they hold one
+    shown = F.concat(H.tel_texts(markup), H.labelled_phone_texts(markup))
+    listed = e164_all(F.flatten(F.transform(shown, phone_candidates)), country, listing_phone_deny)
 
     return read.select(
         "page_id",
@@ -59,9 +59,7 @@ def page_contacts(
         H.description(markup).alias("description"),
         F.array_union(extract_emails(text, email_deny), mailto_emails(links, mailto_deny)).alias("emails"),
         extract_phones(text, country, phone_deny).alias("phones"),
-        F.coalesce(from_texts(H.tel_texts(markup)), from_texts(H.labelled_phone_texts(markup))).alias(
-            "listed_phone"
-        ),
+        F.try_element_at(listed, F.lit(1)).alias("listed_phone"),
         H.address_snippet(text).alias("address"),
         H.social_links(links, host_match).alias("social_media"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizcontacts.functions import listing as L
@@ -18,6 +18,8 @@ from bizcontacts.operators.dedup import cascade_dedup, dedup_report
 from bizcontacts.operators.enrich import enrich_emails
 from bizcontacts.operators.lookups import phone_country
 from bizcontacts.operators.stats import lead_stats, row_counts, top_by_rows, top_k_per_group
+from bizcontacts.sources.leads import LINE_ORDER, read_leads
+from bizcontacts.sources.sinks import write_leads
 
 # Greatest number of results of one search.
 MAX_RESULTS = 500
@@ -100,6 +102,18 @@ def merge_dedup(parts: Sequence[DataFrame], order_by: Sequence[str]) -> DataFram
     return cascade_dedup(merged, order_by)
 
 
+def merge_lead_files(spark: SparkSession, patterns: Sequence[str], target: str, fmt: str = "csv") -> DataFrame:
+    """Merge lead files into one set without duplicates, write it, and return its statistics.
+
+    Files count in name order and rows in line order, so the first copy of a duplicate stays. The
+    result is a folder of part files; it is not drawn together into a single one.
+    """
+    merged = cascade_dedup(read_leads(spark, patterns), LINE_ORDER)
+    write_leads(merged, target, fmt)
+    written = read_leads(spark, f"{target}/*.csv") if fmt == "csv" else spark.read.format(fmt).load(target)
+    return lead_stats(written)
+
+
 def enrich_leads(leads: DataFrame, contacts: DataFrame,
                  spread_by: Sequence[str] = ("business_name", "website")) -> DataFrame:
     """Leads with missing e-mails filled from page contacts of their website."""
@@ -123,6 +137,16 @@ def campaign(cities: DataFrame, terms: DataFrame, files: DataFrame, min_rows: in
     return C.todo(plan, done), C.skipped(plan, done)
 
 
+def campaign_variant(cities: DataFrame, terms: DataFrame, files: DataFrame, variant: C.Variant,
+                     start_from: int = 1) -> DataFrame:
+    """Plan of one kind of campaign with search address, output folder and skip decision per search."""
+    chosen = cities.where(F.col("grp").isin(*variant.groups))
+    plan = C.with_keys(C.campaign_plan(chosen, terms, start_from=start_from))
+    placed = C.with_output_folder(C.planned_urls(plan, F.lit(variant.radius_km or 0)))
+    settings = placed.withColumn("find_emails", F.lit(variant.find_emails))
+    return C.skip_check(settings, C.latest_results(files), variant.min_rows)
+
+
 def page_quality(pages: DataFrame) -> DataFrame:
     """Pages per class."""
     return row_counts(P.classify_pages(pages), ["page_class"], "pages")
@@ -139,6 +163,6 @@ def crawl_quality(log: DataFrame) -> DataFrame:
 
 __all__ = [
     "extract_contacts", "page_contacts", "domain_contacts", "page_links", "normalise_listings",
-    "merge_dedup", "enrich_leads", "lead_report", "limit_results", "campaign", "page_quality",
+    "merge_dedup", "merge_lead_files", "campaign_variant", "enrich_leads", "lead_report", "limit_results", "campaign", "page_quality",
     "content_pages", "crawl_quality", "dedup_report", "row_counts", "top_by_rows",
 ]

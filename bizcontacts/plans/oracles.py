@@ -418,7 +418,9 @@ ORACLES: dict[str, str] = {
              from plan_cities, {dims.values_sql(('keyword',), [(s,) for s in R.SEGMENTS], 's')})""",
         f"""done as (select {key('city')} as ck, {key('keyword')} as kk,
              arg_max(n_rows, struct_pack(a := mtime, b := file)) as n from result_files group by 1, 2)""")
-        + """ select city, keyword, city_key, keyword_key, case when n >= 2 then 'SKIP' else 'SCRAPE' end as action
+        + """ select city, keyword, city_key, keyword_key, case when n >= 2 then 'SKIP' else 'SCRAPE' end as action,
+        coalesce(n, 0) as row_count, case when n is null then 'No existing data'
+          when n >= 2 then 'Already scraped (' || n || ' results)' else 'Low results (' || n || ')' end as reason
         from pl left join done on ck = city_key and kk = keyword_key""",
     "q_existing_latest": with_views(["result_files"])
         + f""" select {key('city')} as city_key, {key('keyword')} as keyword_key,
@@ -450,7 +452,7 @@ ORACLES: dict[str, str] = {
         left join {KEYWORD.replace(') as k(', ') as e(')} on e.business_type = s.business_type and e.language = 'en'""",
     "q_keyword_catalog": with_views(["keyword_source"])
         + """ select business_type, string_agg(distinct language, ', ' order by language) as languages,
-        cast(count(distinct language) as integer) as n_languages,
+        count(distinct language) as n_languages,
         coalesce(nullif(max(keyword) filter (where language = 'de'), ''), nullif(max(keyword) filter (where language = 'en'), ''), '-') as shown
         from keyword_source group by business_type""",
     "q_city_country": with_views(["searches"])

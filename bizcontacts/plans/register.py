@@ -301,9 +301,7 @@ def _files(spark, sf):
 
 
 def q_skip_existing(spark, sf):
-    plan, done = _skip_plan(spark, sf), C.done_searches(_files(spark, sf))
-    left = C.todo(plan, done).withColumn("action", F.lit("SCRAPE"))
-    return left.unionByName(C.skipped(plan, done).withColumn("action", F.lit("SKIP")))
+    return C.skip_check(_skip_plan(spark, sf), C.latest_results(_files(spark, sf)))
 
 
 def q_existing_latest(spark, sf):
@@ -337,9 +335,8 @@ def q_keyword_translate(spark, sf):
 
 
 def q_keyword_catalog(spark, sf):
-    source = load(spark, sf, "keyword_source")
-    shown = K.keyword_display(source, "de").withColumnRenamed("keyword", "shown")
-    return K.keyword_catalog(source).join(shown, "business_type")
+    catalog = K.keyword_catalog(load(spark, sf, "keyword_source"), "de")
+    return catalog.withColumn("n_languages", F.col("n_languages").cast("bigint"))
 
 
 def q_city_country(spark, sf):

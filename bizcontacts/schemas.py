@@ -13,7 +13,6 @@ LEAD_COLUMNS = LEAD_TEXT_COLUMNS + (
     "scraped_date", "search_keyword", "search_city",
 )
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-FILE_TIME_FORMAT = "yyyyMMdd_HHmmss"
 
 _TYPES = {
     "rating": T.DoubleType(),
@@ -23,9 +22,6 @@ _TYPES = {
 
 LEAD_SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in LEAD_COLUMNS])
 
-# In files every column is text; types are cast after the reading (phones keep their plus sign).
-LEAD_FILE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LEAD_COLUMNS])
-
 DOMAIN_CONTACT_SCHEMA = T.StructType(
     [
         T.StructField("website", T.StringType()),

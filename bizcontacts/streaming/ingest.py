@@ -7,20 +7,30 @@ table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bizcontacts.functions.text import is_present_norm, text_norm
-from bizcontacts.schemas import LEAD_COLUMNS, LEAD_FILE_SCHEMA, LEAD_SCHEMA, TIME_FORMAT
+from bizcontacts.schemas import LEAD_COLUMNS, LEAD_SCHEMA, TIME_FORMAT
+from bizcontacts.session import checkpoint_folder
 from bizcontacts.sources.leads import clean_missing
 
 
-def lead_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream over CSV lead files that carry all lead columns in export order."""
+def lead_stream(spark: SparkSession, folder: str, columns: Sequence[str] = LEAD_COLUMNS,
+                files_per_batch: int = 1000) -> DataFrame:
+    """Stream over CSV lead files whose header is ``columns``; columns not among them are null.
+
+    A file with another header stops the stream instead of shifting its values into wrong columns;
+    files of another layout get a stream of their own.
+    """
     raw = (
-        spark.readStream.schema(LEAD_FILE_SCHEMA)
+        spark.readStream.schema(StructType([StructField(c, StringType()) for c in columns]))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("multiLine", True)
         .option("escape", '"')
         .option("maxFilesPerTrigger", files_per_batch)
@@ -28,8 +38,11 @@ def lead_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     )
     typed: list[Column] = []
     for field in LEAD_SCHEMA.fields:
-        text = clean_missing(F.col(field.name))
         kind = field.dataType.simpleString()
+        if field.name not in columns:
+            typed.append(F.lit(None).cast(kind).alias(field.name))
+            continue
+        text = clean_missing(F.col(field.name))
         if kind == "timestamp":
             text = F.try_to_timestamp(text, F.lit(TIME_FORMAT))
         elif kind != "string":
@@ -61,14 +74,17 @@ def dedup_stream(leads: DataFrame, delay: str = "30 days") -> DataFrame:
     )
 
 
-def ingest_leads(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
-                 delay: str = "30 days") -> StreamingQuery:
-    """Take in every file not seen before and stop; rerunning continues where the last run ended."""
-    out = dedup_stream(lead_stream(spark, folder), delay).select(*LEAD_COLUMNS)
+def ingest_leads(spark: SparkSession, folder: str, table_path: str, checkpoint: str | None = None,
+                 delay: str = "30 days", columns: Sequence[str] = LEAD_COLUMNS) -> StreamingQuery:
+    """Take in every file not seen before and stop; rerunning continues where the last run ended.
+
+    Without ``checkpoint`` the progress is kept below the cluster's shared checkpoint folder.
+    """
+    out = dedup_stream(lead_stream(spark, folder, columns), delay).select(*LEAD_COLUMNS)
     return (
         out.writeStream.format("parquet")
         .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", checkpoint or checkpoint_folder(spark, "lead_ingest"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start()

@@ -2,13 +2,17 @@
 
 import os
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from bizcontacts.operators.campaign import done_searches
 from bizcontacts.operators.dedup import cascade_dedup
+from bizcontacts.plans.jobs import merge_lead_files
 from bizcontacts.schemas import LEAD_COLUMNS, NA_WORDS
+from bizcontacts.session import checkpoint_folder
 from bizcontacts.sources import leads as SL
 from bizcontacts.sources import sinks as SK
 from bizcontacts.sources import texts as ST
@@ -54,6 +58,12 @@ def test_merge_of_files(spark, folder):
     assert names == ["", 'Cafe "B"\nline', "Cafe A", "short"]
 
 
+def test_merge_job(spark, folder, tmp_path):
+    row = merge_lead_files(spark, [f"{folder}/[ab].csv"], str(tmp_path / "merged")).first()
+    assert (row.total_businesses, row.with_phone, row.with_rating) == (3, 1, 1)
+    assert merge_lead_files(spark, [f"{folder}/a.csv"], str(tmp_path / "m2"), "parquet").first().total_businesses == 2
+
+
 def test_rows_that_do_not_fit(spark, folder):
     fine = SL.read_leads(spark, f"{folder}/c.csv").collect()
     assert [(r.business_name, r.phone) for r in fine] == [("short", None)]
@@ -172,3 +182,24 @@ def test_ingest_survives_restart(spark, tmp_path):
     again = [("", "Cafe A", ""), ("", "Cafe A", ""), ("+331", "Cafe A", "1 Rue"), ("+333", "New", "9 Rue")]
     assert run() == again
     assert run() == again
+
+
+def test_ingest_refuses_another_layout(spark, tmp_path):
+    base, table = str(tmp_path / "in"), str(tmp_path / "table")
+    put(base, "1.csv", "phone,business_name,scraped_date\n+331,A,2024-01-02 03:04:05\n")
+    with pytest.raises(StreamingQueryException):
+        ingest_leads(spark, base, table, str(tmp_path / "c1")).awaitTermination(120)
+    query = ingest_leads(spark, base, table, str(tmp_path / "c2"), columns=("phone", "business_name", "scraped_date"))
+    query.awaitTermination(120)
+    assert [(r.phone, r.email) for r in spark.read.parquet(table).collect()] == [("+331", None)]
+
+
+def test_checkpoint_folder(spark):
+    def session(master, folder):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master),
+                               conf=SimpleNamespace(get=lambda key, default: folder))
+
+    assert checkpoint_folder(spark, "x").endswith("/x")
+    assert checkpoint_folder(session("spark://host", "/shared/c/"), "x") == "/shared/c/x"
+    with pytest.raises(ValueError):
+        checkpoint_folder(session("spark://host", None), "x")

@@ -39,7 +39,7 @@ def test_keyword_catalog(spark):
     row = K.keyword_catalog(dim).where("business_type = 'bakery'").first()
     assert row.languages == "de, en, es, fr, it, pl, pt" and row.n_languages == 7
     own = frame(spark, [("a", "en", "x"), ("a", "de", ""), ("b", "fr", "y")], "business_type string, language string, keyword string")
-    assert {r.business_type: r.keyword for r in K.keyword_display(own, "de").collect()} == {"a": "x", "b": "-"}
+    assert {r.business_type: r.shown for r in K.keyword_catalog(own, "de").collect()} == {"a": "x", "b": "-"}
 
 
 def test_city_lookups(spark):
@@ -171,6 +171,20 @@ def test_campaign_job(spark):
     assert [r.city for r in left.collect()] == ["B"] and [r.city for r in skipped.collect()] == ["A"]
 
 
+def test_campaign_variant(spark):
+    cities = frame(spark, [("Lund", "SE", "se", 0), ("Paris", "FR", "fr", 1)], "city string, iso string, grp string, city_seq long")
+    terms = frame(spark, [("se", 1, "t", "glassbar", "sv"), ("se", 2, "u", "gelato", "sv"), ("fr", 1, "v", "glacier", "fr")],
+                  "grp string, term_seq long, term_key string, keyword string, language string")
+    files = frame(spark, [("Lund", "glassbar", "f1", 1, 19)], "city_key string, keyword_key string, file string, mtime long, rows long")
+    got = {r.keyword: r for r in J.campaign_variant(cities, terms, files, C.VARIANTS["top_tier"]).collect()}
+    assert set(got) == {"glassbar", "gelato"}
+    assert (got["glassbar"].action, got["glassbar"].row_count, got["glassbar"].reason) == ("SCRAPE", 19, "Low results (19)")
+    assert (got["gelato"].reason, got["gelato"].folder, got["gelato"].find_emails) == ("No existing data", "Sweden", True)
+    assert got["gelato"].search_url.endswith(",12z?hl=sv")
+    loose = J.campaign_variant(cities, terms, files, C.VARIANTS["top_tier"]._replace(min_rows=2))
+    assert loose.where("keyword = 'glassbar'").first().action == "SKIP"
+
+
 def test_crossed_plan_has_no_join(spark):
     plan = C.crossed_plan(frame(spark, [("A",), ("B",)], "city string"), ["x", "y", "z"])
     assert plan.count() == 6 and "Join" not in executed(plan)
