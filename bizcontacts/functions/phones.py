@@ -152,11 +152,16 @@ _SPELL = f"""s -> named_struct('n', s.n,
     'e164', if({_allowed('s.n', 's.plan')}, concat('+', s.plan.cc, s.n), null))"""
 
 
+def may_hold_phone(text: Column | str) -> Column:
+    """Necessary condition for any candidate: most texts hold no digit and are spared the patterns."""
+    return col(text).rlike(r"(?U)\d")
+
+
 def phone_candidates(text: Column | str) -> Column:
     """All pattern matches in ``text``: first those of pattern 1, then of 2, then of 3."""
     c = col(text)
     hits = [F.regexp_extract_all(c, F.lit("(?U)" + p), F.lit(0)) for p in PHONE_PATTERNS]
-    return F.when(c.rlike(r"(?U)\d"), F.concat(*hits)).otherwise(empty_strings())
+    return F.when(may_hold_phone(c), F.concat(*hits)).otherwise(empty_strings())
 
 
 def e164_all(

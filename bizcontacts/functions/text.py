@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +57,39 @@ def sanitize_key(c: Column | str) -> Column:
     return F.substring(F.replace(kept, F.lit(" "), F.lit("_")), 1, KEY_LENGTH)
 
 
-def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
-    """True where ``text`` holds one of ``words``; plain substring tests, so no regex is compiled."""
+def _anchored(words: Sequence[str], shortest: int = 4) -> list[tuple[str, list[str]]]:
+    """Words grouped by a part they share: (part, words). A word that shares none is its own part."""
+    left, groups = list(dict.fromkeys(words)), []
+    while left:
+        parts: dict[str, list[str]] = {}
+        for w in left:
+            for p in {w[i:j] for i in range(len(w)) for j in range(i + shortest, len(w) + 1)}:
+                parts.setdefault(p, []).append(w)
+        if not parts:
+            return groups + [(w, [w]) for w in left]
+        part, members = max(parts.items(), key=lambda kv: (len(kv[1]), len(kv[0]), kv[0]))
+        if len(members) == 1:
+            return groups + [(w, [w]) for w in left]
+        groups.append((part, members))
+        left = [w for w in left if w not in members]
+    return groups
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """True where ``text`` holds one of ``words``.
+
+    Substring tests only. Words are grouped by a part they share, so a text without that part is
+    done with the whole group after one test.
+    """
     test = F.lit(False)
-    for word in words:
-        test = test | F.contains(text, F.lit(word))
+    for part, members in _anchored(words):
+        hit = F.contains(text, F.lit(part))
+        if members != [part]:
+            exact = F.lit(False)
+            for word in members:
+                exact = exact | F.contains(text, F.lit(word))
+            hit = hit & exact
+        test = test | hit
     return test
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizcontacts.functions.emails import EMAIL_DENY, extract_emails
-from bizcontacts.functions.phones import PHONE_DENY, extract_phones
+from bizcontacts.functions.phones import PHONE_DENY, extract_phones, may_hold_phone
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -55,7 +55,7 @@ def text_emails(df: DataFrame, text: str, deny: Sequence[str] = EMAIL_DENY) -> D
 def text_phones(df: DataFrame, text: str, country: Column, deny: Sequence[str] = PHONE_DENY,
                 deny_mode: str = "anywhere") -> DataFrame:
     """One row per valid phone number and record."""
-    some = df.where(F.col(text).rlike(r"(?U)\d"))
+    some = df.where(may_hold_phone(text))
     found = some.withColumn("_found", extract_phones(text, country, deny, deny_mode)).drop(text)
     return explode_found(found, "_found", "phone")
 

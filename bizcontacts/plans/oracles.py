@@ -124,7 +124,7 @@ def inner(m: str, tag: str) -> str:
 
 
 def meta(m: str, attribute: str, name: str) -> str:
-    tag = f"""regexp_extract({m}, '(?is)<meta\\b[^>]*\\b{attribute}\\s*=\\s*["'']{name}["''][^>]*>')"""
+    tag = f"""regexp_extract({m}, '<(?i:meta)\\b[^>]*\\b(?i:{attribute})\\s*=\\s*["'']{name}["''][^>]*>')"""
     double = f"nullif(regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*\"([^\"]*)\"', 1), '')"
     single = f"regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*''([^'']*)''', 1)"
     return f"nullif({trim(entities(f'coalesce({double}, {single})'))}, '')"

@@ -136,6 +136,23 @@ def test_full_entities(spark):
         pyhtml.unescape(values[0]), None]
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["&", "amp;", "&amp;", "&lt;", "lt;", "&quot;", "&#39;", "&euro;", "x", " "])).map("".join), min_size=1, max_size=30))
+def test_entities_match_python(spark, values):
+    known = re.compile("|".join(re.escape(r) for r, _ in H.ENTITIES))
+    want = [known.sub(lambda m: dict(H.ENTITIES)[m.group()], v) for v in values]
+    assert apply(spark, values, H.decode_entities) == want
+    tags = [f'<a href="{v}">'.replace('"&quot;', '"&quot;') for v in values]
+    assert apply(spark, tags, H.hrefs) == [[w] for w in want]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["abcde", "xabcdy", "bcdez", "qq", "abcd abcd"]), min_size=1, max_size=5),
+       st.lists(st.text(alphabet="abcdexyzq ", max_size=12), min_size=1, max_size=40))
+def test_contains_any_matches_python(spark, words, values):
+    assert apply(spark, values, lambda c: X.contains_any(c, words)) == [any(w in v for w in words) for v in values]
+
+
 def test_address_label_priority(spark):
     values = ["Adresse: X\nAddress: Y", "no label", "INDIRIZZO: Via A", "dirección: Calle"]
     assert apply(spark, values, H.address_snippet) == ["Address: Y", None, "INDIRIZZO: Via A", "dirección: Calle"]
