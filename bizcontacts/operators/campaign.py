@@ -79,10 +79,11 @@ def parse_terms(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def running_total(df: DataFrame, position: str, weight: str, out: str, block: int = _BLOCK) -> DataFrame:
-    """Sum of ``weight`` over all rows before each row, ordered by the dense number ``position``.
+    """Sum of ``weight`` over all rows before each row, ordered by the number ``position``.
 
     Two levels keep it parallel: windows inside blocks of ``block`` positions, and one window over
-    the block totals, which are fewer than the rows by that factor.
+    the block totals, which are fewer than the rows by that factor where positions are consecutive,
+    as line numbers are.
     """
     blocked = df.withColumn("_blk", F.floor(F.col(position) / block))
     totals = blocked.groupBy("_blk").agg(F.sum(weight).alias("_w"))
@@ -101,8 +102,8 @@ def campaign_plan(cities: DataFrame, terms: DataFrame, group: str | None = None,
                   start_from: int = 1) -> DataFrame:
     """Every city with every term of its group, numbered city by city.
 
-    ``cities``: city, iso, grp, city_seq (unique, dense); ``terms``: grp, term_seq (1..n within the
-    group), term_key, keyword, language. ``seq`` counts all searches of the selection, so a run can
+    ``cities``: city, iso, grp, city_seq (unique, growing in list order); ``terms``: grp, term_seq
+    (1..n within the group), term_key, keyword, language. ``seq`` counts all searches of the selection, so a run can
     be resumed with ``start_from``. A search listed twice for a city keeps its first number.
     """
     if group is not None:

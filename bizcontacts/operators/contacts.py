@@ -18,6 +18,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     is that of the tables read, as the optimizer knows it; input that fills one scan partition per
     core is passed on as it is, without a shuffle.
     """
+    if not hasattr(df, "_jdf"):  # remote sessions do not show the size
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     scan_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(

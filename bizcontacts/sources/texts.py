@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizcontacts.functions.text import blank_to_null, utrim
@@ -24,15 +24,11 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """Campaign cities, one ``City|ISO|group`` or ``City|group`` per line, numbered in line order.
+    """Campaign cities of one file, a ``City|ISO|group`` or ``City|group`` per line, in line order.
 
-    The list is one small file a person keeps; it is numbered by one window.
+    The sequence number only has to grow with the lines; plans number their searches themselves.
     """
-    lines = _lines(spark, path).withColumn("_at", F.monotonically_increasing_id())
-    numbered = lines.where(utrim("line") != "").withColumn(
-        "seq", F.row_number().over(Window.orderBy("_at")) - 1
-    )
-    return parse_cities(numbered)
+    return parse_cities(_lines(spark, path).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -42,29 +38,27 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     """business_type, language, keyword from a two-level YAML map, or from JSON ending in ``.json``.
 
-    YAML is read as lines: ``type:`` at the left edge opens a type, indented ``lang: "word"`` lines
-    belong to the last one opened. The file is a hand-kept dictionary, so one window suffices.
+    YAML is cut into sections at each ``type:`` on the left edge; the indented ``lang: "word"``
+    lines of a section are its translations.
     """
+    whole = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
-        whole = spark.read.text(path, wholetext=True)
         nested = F.from_json("value", "map<string, map<string, string>>")
         types = whole.select(F.explode(nested).alias("business_type", "_words"))
         return types.select("business_type", F.explode("_words").alias("language", "keyword"))
-    lines = _lines(spark, path).withColumn("_at", F.monotonically_increasing_id())
-    opened = blank_to_null(F.regexp_extract("line", r"^([A-Za-z0-9_-]+):\s*(?:#.*)?$", 1))
-    upto = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    pair = r"^\s+([A-Za-z-]+):\s*(.*?)\s*$"
-    word = F.regexp_extract("line", pair, 2)
+    text = F.concat(F.lit("\n"), F.replace(F.col("value"), F.lit("\r"), F.lit("")))
+    sections = whole.select(F.explode(F.split(text, r"\n(?=[A-Za-z0-9_-]+:[ \t]*(?:#|\n|$))")).alias("_s"))
+    pairs = sections.select(
+        blank_to_null(F.regexp_extract("_s", r"^([A-Za-z0-9_-]+):", 1)).alias("business_type"),
+        F.explode(F.regexp_extract_all("_s", F.lit(r"(?m)^[ \t]+([A-Za-z-]+:.*)$"), F.lit(1))).alias("_p"),
+    )
+    word = utrim(F.regexp_extract("_p", r"^[A-Za-z-]+:(.*)$", 1))
     double, single = (F.regexp_extract(word, f"^{q}([^{q}]*){q}", 1) for q in "\"'")
     bare = F.regexp_replace(word, r"\s+#.*$", "")
-    return (
-        lines.withColumn("business_type", F.last(opened, ignorenulls=True).over(upto))
-        .select(
-            "business_type",
-            blank_to_null(F.regexp_extract("line", pair, 1)).alias("language"),
-            F.when(word.startswith('"'), double).when(word.startswith("'"), single).otherwise(bare).alias("keyword"),
-        )
-        .where(F.col("business_type").isNotNull() & F.col("language").isNotNull())
+    return pairs.where(F.col("business_type").isNotNull()).select(
+        "business_type",
+        F.regexp_extract("_p", r"^([A-Za-z-]+):", 1).alias("language"),
+        F.when(word.startswith('"'), double).when(word.startswith("'"), single).otherwise(bare).alias("keyword"),
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from bizcontacts.operators.campaign import done_searches
+from bizcontacts.operators.campaign import campaign_plan, done_searches
 from bizcontacts.operators.dedup import cascade_dedup
 from bizcontacts.plans.jobs import merge_lead_files
 from bizcontacts.schemas import LEAD_COLUMNS, NA_WORDS
@@ -117,9 +117,11 @@ def test_line_sources(spark, tmp_path):
     log = put(base, "p.log", "Dublin|gelato|en-ie|SUCCESS|37\nDublin|gelato|en-ie|FAILED\n")
     assert [(r.status, r.rows) for r in ST.read_progress(spark, log).collect()] == [("SUCCESS", 37), ("FAILED", None)]
     cities = put(base, "c.txt", "Lund|SE|se\n\nWien|de\n")
-    assert [(r.city, r.city_seq) for r in ST.read_cities(spark, cities).orderBy("city_seq").collect()] == [("Lund", 0), ("Wien", 1)]
-    terms = put(base, "t.txt", "se|1|bar|glassbar|sv\n")
-    assert ST.read_terms(spark, terms).first().keyword == "glassbar"
+    assert [r.city for r in ST.read_cities(spark, cities).orderBy("city_seq").collect()] == ["Lund", "Wien"]
+    terms = put(base, "t.txt", "se|1|bar|glassbar|sv\nde|1|eis|eisdiele|de\n")
+    assert {r.keyword for r in ST.read_terms(spark, terms).collect()} == {"glassbar", "eisdiele"}
+    plan = campaign_plan(ST.read_cities(spark, cities), ST.read_terms(spark, terms))
+    assert sorted((r.seq, r.city) for r in plan.collect()) == [(1, "Lund"), (2, "Wien")]
 
 
 def test_keywords(spark, tmp_path):
