@@ -15,8 +15,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition by ``key`` only where the tables read are too small to occupy the cluster.
 
     A small file comes in few partitions and leaves cores idle in the work that follows. The size
-    is that of the tables read, as the optimizer knows it; input that fills one scan partition per
-    core is passed on as it is, without a shuffle.
+    is that of the tables read, as the optimizer knows it; input that gives a quarter of the cores a
+    full scan partition each is passed on as it is, without a shuffle.
     """
     if not hasattr(df, "_jdf"):  # remote sessions do not show the size
         return df
@@ -27,7 +27,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     ))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df if size >= cores * scan_bytes else df.repartition(cores, key)
+    return df if size >= cores * scan_bytes / 4 else df.repartition(cores, key)
 
 
 def pin(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -291,6 +291,19 @@ REVIEW = "concat(coalesce(review_label, ''), '')"
 PARTS = "string_split(address, ',')"
 SEAT = f"case when len({PARTS}) > 2 then {trim(PARTS + '[-2]')} else {trim(PARTS + '[-1]')} end"
 
+CITY_OF = f"case when len({PARTS}) >= 2 then nullif({trim(f'regexp_replace({SEAT}, {rx(L.POSTAL_CODE)}, {lit(str())}, {lit(chr(103))})')}, '') end"
+POSTAL_OF = f"case when len({PARTS}) >= 2 then {first_match(trim(PARTS + '[-1]'), L.POSTAL_CODE, 0)} end"
+RATING_OF = f"coalesce(nullif({RATING}, 0.0), case when {BARE} between 1.0 and 5.0 then {BARE} end)"
+HOURS_T, PRICE_T = trim("hours_text"), trim("price_text")
+HOURS_OF = (
+    f"case when regexp_matches({HOURS_T}, {rx(L.TIME_RANGE)}) and length({HOURS_T}) < {L.HOURS_MAX_LENGTH}"
+    f" and regexp_matches({HOURS_T}, {rx('(?iu)' + L.HOURS_WORDS)}) then {clean('hours_text')} end"
+)
+PRICE_OF = f"case when {price_test(PRICE_T)} then {clean('price_text')} end"
+WEBSITE_OF = f"""case when not starts_with(website, 'mailto:') and website <> '' then
+    case when contains(website, {lit(L.REDIRECT_MARK)}) then
+    coalesce(url_decode({first_match('website', '[?&]q=([^&]+)')}), website) else website end end"""
+
 ORACLES: dict[str, str] = {
     # text and contacts
     "q_doc_emails": f"""select distinct doc_id, email from (select doc_id, unnest({EMAILS}) as email from documents)
@@ -313,6 +326,15 @@ ORACLES: dict[str, str] = {
     ]) + """ select l.lang, coalesce(tn.k, 0) as valid, coalesce(ta.k, 0) as anywhere, coalesce(tc.k, 0) as after_cc
         from (select distinct lang from documents) l left join tn using (lang) left join ta using (lang)
         left join tc using (lang)""",
+    "q_contact_coverage": "with " + ",\n".join([
+        f"cand as (select doc_id, {LANG_ISO} as iso, unnest({CANDS}) as raw from documents)",
+        *e164_ctes("cand", "doc_id", N.PHONE_DENY),
+        f"""mails as (select distinct doc_id from (select doc_id, unnest({EMAILS}) as email from documents)
+            where not {denied_email('email', R.DENY)})""",
+        """c as (select source, count(*) as total,
+            count(*) filter (where doc_id in (select doc_id from mails)) as with_email,
+            count(*) filter (where doc_id in (select doc_id from e164)) as with_phone from documents group by source)""",
+    ]) + f" select *, {pct('with_email', 'total')} as email_percentage, {pct('with_phone', 'total')} as phone_percentage from c",
     "q_clean_text": digest("clean", "documents", "doc_id", clean("text")),
     "q_text_norm": digest("norm", "documents", "doc_id", norm("text")),
     # pages
@@ -487,24 +509,26 @@ ORACLES: dict[str, str] = {
         from searches s left join {COUNTRY} on c.country_name = lower(translate({trim('s.country_name')}, '_-', '  '))""",
     # listing texts
     "q_parse_address": with_views(["listing_text"])
-        + f""" select id, address, case when len({PARTS}) >= 2
-            then nullif({trim(f"regexp_replace({SEAT}, {rx(L.POSTAL_CODE)}, '', 'g')")}, '') end as city,
-          case when len({PARTS}) >= 2 then {first_match(trim(PARTS + '[-1]'), L.POSTAL_CODE, 0)} end as postal_code
-        from listing_text""",
+        + f" select id, address, {CITY_OF} as city, {POSTAL_OF} as postal_code from listing_text",
     "q_parse_rating": with_views(["listing_text"])
-        + f""" select id, coalesce(nullif({RATING}, 0.0), case when {BARE} between 1.0 and 5.0 then {BARE} end) as rating,
+        + f""" select id, {RATING_OF} as rating,
         try_cast(regexp_replace(coalesce({first_match(REVIEW, L.REVIEW_LABEL)}, {first_match(REVIEW, L.REVIEW_PAREN)}),
           '[.,]', '', 'g') as double) as review_count from listing_text""",
-    "q_parse_hours": with_views(["listing_text"])
-        + f""" select id, case when regexp_matches(t, {rx(L.TIME_RANGE)}) and length(t) < {L.HOURS_MAX_LENGTH}
-          and regexp_matches(t, {rx('(?iu)' + L.HOURS_WORDS)}) then {clean('hours_text')} end as hours
-        from (select *, {trim('hours_text')} as t from listing_text)""",
-    "q_parse_price": with_views(["listing_text"])
-        + f""" select id, case when {price_test('t')} then {clean('price_text')} end as price_range
-        from (select *, {trim('price_text')} as t from listing_text)""",
-    "q_unwrap_redirect": with_views(["listing_text"])
-        + f""" select id, case when not starts_with(website, 'mailto:') and website <> '' then
-          case when contains(website, {lit(L.REDIRECT_MARK)}) then
-            coalesce(url_decode({first_match('website', '[?&]q=([^&]+)')}), website) else website end end as website
-        from listing_text""",
+    "q_parse_hours": with_views(["listing_text"]) + f" select id, {HOURS_OF} as hours from listing_text",
+    "q_parse_price": with_views(["listing_text"]) + f" select id, {PRICE_OF} as price_range from listing_text",
+    "q_unwrap_redirect": with_views(["listing_text"]) + f" select id, {WEBSITE_OF} as website from listing_text",
+    "q_normalise_listings": with_views(["listing_text"],
+        f"""l as (select s.*, coalesce(le.phone_country, lb.phone_country, city_country, 'US') as iso, phone_text as text
+             from listing_text s left join {CITY} on c.city_key = {norm('s.place')}
+             left join {EXACT} on le.language = {LANG_NORM} left join {BASE_LANG} on lb.language = {LANG_BASE})""",
+        f"cand as (select id, iso, unnest({CANDS}) as raw, generate_subscripts({CANDS}, 1) as k from l)",
+        *e164_ctes("cand", "id, k", N.LISTING_PHONE_DENY),
+        "first_phone as (select id as pid, arg_min(e164, k) as phone from e164 group by id)")
+        + f""" select id as ord, nullif({clean('name')}, '') as business_name, phone, address,
+        {CITY_OF} as city, {POSTAL_OF} as postal_code, iso as country, {WEBSITE_OF} as website, {RATING_OF} as rating,
+        nullif({clean('category')}, '') as category, {HOURS_OF} as hours, {PRICE_OF} as price_range
+        from (select * replace (nullif({clean('address')}, '') as address) from l) left join first_phone on pid = id""",
 }
+ORACLES["q_page_quality"] = (
+    f"select page_class, count(*) as pages from ({ORACLES['q_page_class']}) group by page_class"
+)

@@ -123,6 +123,10 @@ def q_text_norm(spark, sf):
     return normed.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
+def q_contact_coverage(spark, sf):
+    return flagship(spark, sf)
+
+
 # --- pages -------------------------------------------------------------------------------------
 
 def q_page_text(spark, sf):
@@ -203,6 +207,10 @@ def q_page_class(spark, sf):
     return P.classify_pages(T.spread(load(spark, sf, "pages_contact"), "page_id")).select("page_id", "page_class")
 
 
+def q_page_quality(spark, sf):
+    return J.page_quality(T.spread(load(spark, sf, "pages_contact"), "page_id"))
+
+
 def q_enrich_email(spark, sf):
     leads = load(spark, sf, "page_leads")
     return J.enrich_leads(leads, contacts(spark, sf), ["ord"])
@@ -392,6 +400,14 @@ def q_parse_price(spark, sf):
     return load(spark, sf, "listing_text").select("id", L.parse_price("price_text").alias("price_range"))
 
 
+def q_normalise_listings(spark, sf):
+    raw = load(spark, sf, "listing_text").withColumnsRenamed({"id": "ord", "website": "website_href"})
+    leads = J.normalise_listings(raw, "language", "place")
+    columns = ("ord", "business_name", "phone", "address", "city", "postal_code", "country", "website", "rating",
+               "category", "hours", "price_range")
+    return leads.select(*columns)
+
+
 def q_unwrap_redirect(spark, sf):
     return load(spark, sf, "listing_text").select("id", L.parse_website("website").alias("website"))
 

@@ -156,7 +156,13 @@ VIEWS = {
     """,
     # raw texts of listings
     "listing_text": """
-        select p_partkey as id,
+        select p_partkey as id, concat('  Shop  ', p_name, ' ') as name, p_type as category,
+          case p_partkey % 3 when 0 then 'de' when 1 then 'fr-CH' else 'en' end as language,
+          case when p_partkey % 2 = 0 then 'Amsterdam' else 'Nowhere' end as place,
+          case p_partkey % 5 when 0 then concat('Tel. 030 ', cast(1000000 + p_partkey % 8000000 as varchar(20)))
+            when 1 then concat('+33 1426', cast(10000 + p_partkey % 90000 as varchar(20)))
+            when 2 then 'call 0800 123 4567' when 3 then concat('(020) 123-', cast(1000 + p_partkey % 9000 as varchar(20)), ' or 743-555-1234')
+            else cast(null as varchar(40)) end as phone_text,
           case p_partkey % 5 when 0 then concat(cast(1 + p_size % 4 as varchar(4)), ',', cast(p_partkey % 10 as varchar(4)), ' Sterne')
             when 1 then concat(cast(1 + p_size % 4 as varchar(4)), '.', cast(p_partkey % 10 as varchar(4)), 'stars') when 2 then 'no label'
             when 3 then '4.5.6 stars' else cast(null as varchar(40)) end as rating_label,
@@ -188,7 +194,7 @@ VIEWS = {
           case when o_orderkey % 3 = 0 then hot.url else own.url end as website
         from {orders}
         left join {pages} own on own.page_id = o_custkey
-        left join {pages} hot on hot.page_id = o_custkey % 8
+        left join (select page_id, url from {pages} where page_id < 8) hot on hot.page_id = o_custkey % 8
     """,
 }
 
