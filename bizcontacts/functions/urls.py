@@ -60,7 +60,7 @@ def candidate_pages(url: Column | str, paths: Sequence[str] = CONTACT_PATHS,
                     max_pages: int = MAX_PAGES_PER_SITE) -> Column:
     """Array of the first ``max_pages`` contact pages of a site."""
     base = base_url(url)
-    chosen = list(paths)[:max_pages]
+    chosen = [p if p == "" or p.startswith("/") else f"/{p}" for p in list(paths)[:max_pages]]
     return F.array(*[F.concat(base, F.lit(p)) for p in chosen])
 
 

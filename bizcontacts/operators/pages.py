@@ -178,6 +178,11 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return classed.select(*pages.columns, "page_class")
 
 
+def successful(log: DataFrame) -> DataFrame:
+    """Attempts whose page may be read: status 200."""
+    return log.where(F.col("status") == 200)
+
+
 def crawl_outcomes(log: DataFrame) -> DataFrame:
     """Last outcome per URL; ``log``: url, status, error, ts, event_id (breaks ties of ts)."""
     classed = log.select("url", "ts", "event_id", crawl_class("status", "error").alias("outcome"),

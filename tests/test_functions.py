@@ -87,6 +87,11 @@ def test_urls(spark):
         ["http://x.de", "http://x.de/contact", "http://x.de/about"]]
 
 
+def test_candidate_pages_join_like_links(spark):
+    assert apply(spark, ["https://a.fr/x/y?z"], lambda c: U.candidate_pages(c, ("", "team", "/kontakt"), 9)) == [
+        ["https://a.fr", "https://a.fr/team", "https://a.fr/kontakt"]]
+
+
 def test_percent_coding_matches_python(spark):
     values = ["a b/c~*é&+=%", "pâtisserie Köln", "x" * 50]
     assert apply(spark, values, U.percent_encode) == [quote(v) for v in values]

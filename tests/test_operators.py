@@ -287,6 +287,7 @@ def test_crawl_log(spark):
                 "url string, status int, error string, ts long, event_id long")
     got = {r.url: (r.attempts, r.ok_attempts, r.outcome) for r in P.crawl_outcomes(log).collect()}
     assert got == {"u": (2, 1, "ok"), "v": (2, 1, "transient")}
+    assert P.successful(log).count() == 2
     assert {r.error_class: r.attempts for r in J.crawl_quality(log).collect()} == {"retryable_status": 1, "ok": 2, "transient": 1}
 
 
