@@ -23,9 +23,10 @@ from bizcontacts.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-# a shingle in more prefixes than this counts as frequent; the most frequent FREQUENT are moved back
-COMMON = 32
-FREQUENT = 65_536
+# a shingle in more prefixes than this counts as frequent and is moved back in the order; the bar
+# rises where more than FREQUENT shingles would pass it, so what is broadcast stays bounded
+COMMON = 2
+FREQUENT = 1_000_000
 # regions above this size get further pivots, this many rounds at most, before documents are compared
 LARGE = 24
 ROUNDS = 2
@@ -101,8 +102,16 @@ class MetricJoin:
         """(doc_id, prefix) of one document of each set, frequent shingles moved back."""
         first = sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
         heads = sets.join(first.select("doc_id"), "doc_id", "left_semi").filter("n > 0").select("doc_id", "prefix")
-        counts = (heads.select(F.explode("prefix").alias("s")).groupBy("s").count()
-                  .filter(F.col("count") > COMMON).orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow())
+        counts = self.scratch.save(heads.select(F.explode("prefix").alias("s")).groupBy("s").count()
+                                   .filter(F.col("count") > COMMON), "counts")
+        levels = counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count"))
+        above, bar = 0, COMMON
+        for r in levels.limit(FREQUENT).collect():  # one row per distinct count
+            above += r["n"]
+            if above > FREQUENT:
+                bar = r["count"]
+                break
+        counts = counts.filter(F.col("count") > bar).toArrow()
         if not counts.num_rows:
             return heads
         hot, often = counts.column("s").to_numpy().view(np.uint64), counts.column("count").to_numpy()
