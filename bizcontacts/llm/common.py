@@ -97,28 +97,66 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-class WordHash(dict):
-    """64-bit hash of a word, remembered; emptied when full, so memory stays bounded."""
-
-    def __init__(self, limit: int = 1_000_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORDS = WordHash()
+class WordHasher:
+    """64-bit hashes of the words between ASCII white space, A-Z lowered, in numpy.
 
+    A word's hash is the sum of a random number per byte times a power of an odd base. Sums over
+    all words come from one running sum, since odd powers can be divided out again.
+    """
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words between ASCII white space, A-Z lowered; empty for null."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    PIECE = 1 << 20
+
+    def __init__(self):
+        rng = np.random.default_rng(20)
+        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.byte[65:91] = self.byte[97:123]
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        self.space = space
+        base = 0x9E3779B97F4A7C15
+        self.power, self.back = np.ones(0, np.uint64), np.ones(0, np.uint64)
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+
+    def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power) < n:
+            n = max(n, 2 * len(self.power), 1 << 14)
+            ones = np.ones(n, np.uint64)
+            self.power = np.cumprod(np.concatenate([ones[:1], np.full(n - 1, self.base)]), dtype=np.uint64)
+            self.back = np.cumprod(np.concatenate([ones[:1], np.full(n - 1, self.inverse)]), dtype=np.uint64)
+        return self.power, self.back
+
+    def piece(self, b: np.ndarray) -> np.ndarray:
+        power, back = self.tables(len(b))
+        gap = np.ones(len(b) + 2, bool)
+        gap[1:-1] = self.space[b]
+        start = np.flatnonzero(gap[:-2] & ~gap[1:-1])
+        end = np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        run = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.byte[b] * power[:len(b)], out=run[1:])
+        h = (run[end] - run[start]) * back[start]
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Hashes in the order of the words; empty for null and for texts without words."""
+        if not text:
+            return np.zeros(0, np.uint64)
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(data) <= self.PIECE:
+            return self.piece(data)
+        out, at = [], 0
+        while at < len(data):  # a long text in pieces that end at white space
+            stop = min(at + self.PIECE, len(data))
+            if stop < len(data):
+                cut = np.flatnonzero(self.space[data[at:stop]])
+                if len(cut):
+                    stop = at + int(cut[-1]) + 1
+                else:  # one word longer than a piece
+                    ahead = np.flatnonzero(self.space[data[stop:]])
+                    stop = stop + int(ahead[0]) + 1 if len(ahead) else len(data)
+            out.append(self.piece(data[at:stop]))
+            at = stop
+        return np.concatenate(out)
+
+
+word_hashes = WordHasher()

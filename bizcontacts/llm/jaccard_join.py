@@ -3,7 +3,9 @@
 The distance 1 - Jaccard is a metric. Documents that share a shingle of their prefixes form a
 region (two documents that link always share one). Each region takes pivots and measures its
 documents against them: within the radius a document links to the pivot; regions whose documents
-have come together need no more. The others are cut into the Voronoi cells of their pivots, each
+have come together need no more. Before any text is fetched, a bit sketch bounds the distance of a pair
+from below: it maps sets to bits linearly, so the bits that differ are never more than the shingles
+that differ. The others are cut into the Voronoi cells of their pivots, each
 cell extended by the documents that the triangle inequality lets reach into it, and only documents
 of different components within a cell and a distance window are compared. Regions that stay large
 get further pivots first.
@@ -15,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizcontacts.llm.common import Scratch, map_batches, ship, word_hashes
@@ -30,6 +32,8 @@ FREQUENT = 1_000_000
 # regions above this size get further pivots, this many rounds at most, before documents are compared
 LARGE = 24
 ROUNDS = 2
+# 64-bit words of the sketch
+SKETCH = 16
 # ids broadcast at most; more of them are joined by shuffle
 BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (
@@ -69,6 +73,21 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: np.ndarray, percen
     return first
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * SKETCH bins."""
+    bins = (shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 10)
+    odd = np.bincount(bins.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differ(x: str, y: str) -> Column:
+    """Bits that differ between two sketch columns."""
+    total = F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0]))
+    for k in range(1, SKETCH):
+        total = total + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return total
+
+
 def _near_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose doc_id is in ``ids``, broadcast only if counted to be few."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -83,20 +102,21 @@ class MetricJoin:
         self.parts: DataFrame | None = None
 
     def sets(self) -> DataFrame:
-        """(doc_id, n, key, prefix) of every document; the key tells equal sets."""
+        """(doc_id, n, key, sketch, prefix) of every document; the key tells equal sets."""
         size, percent = self.size, self.percent
         none = np.zeros(0, np.uint64)
 
         def run(batch):
-            n, keys, first = [], [], []
+            n, keys, first, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 first.append(prefix(s, none, none, percent).view(np.int64) if len(s) else [])
-            return {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "prefix": first}
+                bits.append(sketch(s))
+            return {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "sketch": bits, "prefix": first}
 
-        return map_batches(self.docs, "doc_id long, n long, key binary, prefix array<long>", run)
+        return map_batches(self.docs, "doc_id long, n long, key binary, sketch array<long>, prefix array<long>", run)
 
     def heads(self, sets: DataFrame) -> DataFrame:
         """(doc_id, prefix) of one document of each set, frequent shingles moved back."""
@@ -150,10 +170,29 @@ class MetricJoin:
         return (entries.select("s", "doc", F.min("doc").over(one).alias("pivot"), F.count("*").over(one).alias("size"))
                 .filter("size > 1"))
 
+    def possible(self) -> Column:
+        """Whether sets of na and nb shingles, whose sketches differ in ``bits``, may link."""
+        p = self.percent
+        both = F.col("na") + F.col("nb")
+        return ((100 - p) * both >= (100 + p) * F.col("bits")) & (
+            100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+
+    def bounded(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs that may link, the others with bounds low and high of their distance)."""
+        of = lambda c: self.meta.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"),
+                                        F.col("sketch").alias(f"s{c}"))
+        rows = (pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+                .select("a", "b", "na", "nb", _differ("sa", "sb").alias("bits")))
+        rows = self.scratch.save(rows.select("a", "b", self.possible().alias("possible"),
+                                             (2 * F.col("bits") / (F.col("na") + F.col("nb") + F.col("bits"))).alias("low")),
+                                 "bounds")
+        return rows.filter("possible").select("a", "b"), rows.filter("not possible").select(
+            "a", "b", "low", F.lit(1.0).alias("high"))
+
     def measure(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) for pairs of ids: exact distances from the whole texts."""
         size, percent = self.size, self.percent
-        pairs = self.scratch.save(pairs.distinct(), "pairs")
+        pairs = self.scratch.save(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
         texts = _near_ids(self.docs, ids)
 
@@ -196,57 +235,72 @@ class MetricJoin:
         mixed = rows.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         return rows.join(mixed.filter("low < high").select("s"), "s")
 
+    def star(self, pairs: DataFrame) -> DataFrame:
+        """Unite what links among (document, pivot) pairs; their distances as bounds (a, b, low, high)."""
+        near, far = self.bounded(pairs)
+        measured = self.measure(near)
+        self.unite(measured)
+        return measured.select("a", "b", F.col("d").alias("low"), F.col("d").alias("high")).unionAll(far)
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         sets = self.scratch.save(self.sets(), "sets")
         self.repeated = sets.select("doc_id").distinct().count() < sets.count()
         regions = self.scratch.save(self.regions(self.heads(sets)), "regions")
-        star = regions.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-        measured = self.measure(star)
-        self.unite(measured)
+        self.meta = self.scratch.save(
+            sets.select("doc_id", "n", "sketch").join(regions.select(F.col("doc").alias("doc_id")).distinct(),
+                                                      "doc_id", "left_semi"), "meta")
+        known = self.star(regions.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
         pivots = regions.filter("doc = pivot").select("s", "pivot")
         for turn in range(ROUNDS):
             wide = self.scratch.save(self.open_regions(regions, LARGE), "wide")
             if wide.isEmpty():
                 break
-            # the next pivot comes from the documents that are not yet with the largest... smallest component
-            draw = F.struct(F.xxhash64("doc", "s", F.lit(turn)).alias("h"), F.col("doc").alias("pivot"))
+            # the next pivot of a region is not of the component of its smallest document
+            draw = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("pivot"))
             low = wide.groupBy("s").agg(F.min("component").alias("low"))
             chosen = (wide.join(low, "s").filter(F.col("component") != F.col("low"))
                       .groupBy("s").agg(F.min(draw).alias("p")).select("s", F.col("p.pivot").alias("pivot")))
             chosen = self.scratch.save(chosen, "pivots")
-            star = (wide.select("s", "doc").join(chosen, "s").filter(F.col("doc") != F.col("pivot"))
-                    .select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-            more = self.measure(star)
-            self.unite(more)
-            measured, pivots = measured.unionAll(more), pivots.unionAll(chosen)
+            more = self.star(wide.select("s", "doc").join(chosen, "s").filter(F.col("doc") != F.col("pivot"))
+                             .select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+            known, pivots = known.unionAll(more), pivots.unionAll(chosen)
         rest = self.scratch.save(self.open_regions(regions, 2).select("s", "doc", "component"), "open")
         if not rest.isEmpty():
-            self.unite(self.measure(self.cell_pairs(rest, pivots.distinct(), measured)))
+            self.unite(self.measure(self.cell_pairs(rest, pivots.distinct(), known)))
         return self.rows(sets)
 
-    def cell_pairs(self, rest: DataFrame, pivots: DataFrame, measured: DataFrame) -> DataFrame:
+    def cell_pairs(self, rest: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs still to be compared: home documents of a cell with those that can reach into it."""
-        known = measured.groupBy("a", "b").agg(F.min("d").alias("d"))
+        known = known.groupBy("a", "b").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        own = F.col("doc") == F.col("pivot")
         far = (rest.join(pivots, "s")
                .join(known, (F.col("doc") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
-               .withColumn("d", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-               .filter("d is not null").select("s", "doc", "component", "pivot", "d"))
-        home = far.groupBy("s", "doc").agg(F.min(F.struct("d", "pivot")).alias("h"))
+               .withColumns({"low": F.when(own, 0.0).otherwise(F.col("low")),
+                             "high": F.when(own, 0.0).otherwise(F.col("high"))})
+               .filter("low is not null").select("s", "doc", "component", "pivot", "low", "high"))
+        home = far.groupBy("s", "doc").agg(F.min(F.struct("high", "pivot")).alias("h"))
         slack = 1e-9
         cells = (far.join(home, ["s", "doc"])
-                 .filter(F.col("d") <= F.col("h.d") + 2 * self.radius + slack)
-                 .select("s", "doc", "component", "pivot", "d", (F.col("pivot") == F.col("h.pivot")).alias("home")))
+                 .filter(F.col("low") <= F.col("h.high") + 2 * self.radius + slack)
+                 .join(self.meta, F.col("doc") == F.col("doc_id"))
+                 .select("s", "doc", "component", "pivot", "low", "high", "n", "sketch",
+                         (F.col("pivot") == F.col("h.pivot")).alias("home")))
         cells = self.scratch.save(cells, "cells")
-        x = cells.filter("home").select("s", "pivot", F.col("doc").alias("x"), F.col("component").alias("cx"),
-                                        F.col("d").alias("dx"))
-        y = cells.select("s", "pivot", F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("d").alias("dy"))
-        # a pivot has been measured against its whole region
-        return (x.join(y, ["s", "pivot"])
-                .filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy"))
-                        & (F.abs(F.col("dx") - F.col("dy")) <= self.radius + slack)
-                        & (F.col("x") != F.col("pivot")) & (F.col("y") != F.col("pivot")))
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        of = lambda c: cells.select("s", "pivot", "home", F.col("doc").alias(c), *[
+            F.col(x).alias(f"{x}_{c}") for x in ("component", "low", "high", "n", "sketch")])
+        x, y = of("x").filter("home").drop("home"), of("y").drop("home")
+        p = self.percent
+        both = F.col("n_x") + F.col("n_y")
+        # a pivot has been compared with its whole region; bounds that cannot link never leave the join
+        match = ((x["s"] == y["s"]) & (x["pivot"] == y["pivot"]) & (F.col("x") != F.col("y"))
+                 & (F.col("component_x") != F.col("component_y"))
+                 & (F.col("low_x") - F.col("high_y") <= self.radius + slack)
+                 & (F.col("low_y") - F.col("high_x") <= self.radius + slack)
+                 & (F.col("x") != x["pivot"]) & (F.col("y") != x["pivot"])
+                 & (100 * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y"))
+                 & ((100 - p) * both >= (100 + p) * _differ("sketch_x", "sketch_y")))
+        return x.join(y, match).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def rows(self, sets: DataFrame) -> DataFrame:
         heads = (sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"))
