@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_AT_ONCE = 500
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
 
@@ -79,7 +80,10 @@ class Scratch:
 
 
 def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """Apply ``function`` to each Arrow batch; it returns columns by name, or nothing."""
+    """Apply ``function`` to slices of each Arrow batch; it returns columns by name, or nothing.
+
+    Slices of ``ROWS_AT_ONCE`` rows keep the Python objects of long texts from piling up.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -88,8 +92,8 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = function(batch.slice(at, ROWS_AT_ONCE))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out[f.name], type=f.type) for f in target], schema=target)
