@@ -188,6 +188,8 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98,
                          "b": pa.array([None] * len(here) + [s[1] for s in star], pa.int64()),
                          "n": pa.array(np.concatenate([links[here], np.zeros(len(star), np.int64)]))})
 
+    # dealt by cell: by leaf alone, all cells of a large leaf would meet in one task
+    cells = cells.repartition("label", "leaf", "i", "j")
     met = scratch.save(cells.groupBy("label", "leaf", "i", "j").applyInArrow(cell, "a long, b long, n long"), "met")
     parts = components(met.filter("b is not null").select("a", "b"), scratch)
     near = met.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
