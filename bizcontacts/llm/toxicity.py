@@ -28,7 +28,9 @@ MIN_TEXTS = 15
 DECAY = 1e-2
 # bound of the training sample, in labelled rows
 MAX_TRAIN_ROWS = 6_000
-MAX_TRAIN_WORDS = 2_000_000
+MAX_TRAIN_WORDS = 1_200_000
+# a clean text lends that many words in a row, from a random place; a toxic text all of its words
+CLEAN_WORDS = 150
 
 
 def features(word: str) -> list[int]:
@@ -98,6 +100,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 80)
     used = []
     for t, y in zip(texts, labels, strict=True):
         words = bag_words(t)
+        if not y and len(words) > CLEAN_WORDS:
+            at = int(rng.integers(len(words) - CLEAN_WORDS + 1))
+            words = words[at:at + CLEAN_WORDS]
         if words and budget > 0:
             rows.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
             used.append(y)
@@ -115,8 +120,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 80)
         mark[np.concatenate([lists[w] for w in np.unique(r)])] = True
         held += mark
     common = held >= min(MIN_TEXTS, max(1, len(rows) // 50))
-    owner, flat = np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate(lists)
-    owner, flat = owner[common[flat]], flat[common[flat]]
+    lists = [x[common[x]] for x in lists]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists).astype(np.int64)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)) * common[:, None]
     out = rng.normal(0, 0.1, DIM)
     bias = np.log(y_text.mean() / (1 - y_text.mean()))
