@@ -28,7 +28,7 @@ class PairMerger:
     vocabulary has none. Counts of such cuts are remembered, up to ``limit`` of them.
     """
 
-    def __init__(self, ranks: dict[str, int], limit: int = 1_000_000):
+    def __init__(self, ranks: dict[str, int], limit: int = 600_000):
         if any(SPACE in p.lstrip(SPACE) for p in ranks):
             raise ValueError("a piece spans a word boundary: texts can't be cut before spaces")
         self.ranks, self.limit = ranks, limit

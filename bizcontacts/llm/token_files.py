@@ -57,7 +57,7 @@ class ChunkIds:
     its pieces. New pieces go to the library in one batch; the memory is emptied when full.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit

@@ -27,8 +27,8 @@ ROUND_WINDOWS = 150_000
 MIN_TEXTS = 15
 DECAY = 1e-2
 # bound of the training sample, in labelled rows
-MAX_TRAIN_ROWS = 6_000
-MAX_TRAIN_WORDS = 1_200_000
+MAX_TRAIN_ROWS = 5_000
+MAX_TRAIN_WORDS = 900_000
 # a clean text lends that many words in a row, from a random place; a toxic text all of its words
 CLEAN_WORDS = 150
 
@@ -45,7 +45,7 @@ def features(word: str) -> list[int]:
 class Model:
     """Scores texts: one number per subword, since the softmax is linear in the averaged vectors."""
 
-    def __init__(self, weights: np.ndarray, bias: float, scale: tuple[float, float], limit: int = 1_000_000):
+    def __init__(self, weights: np.ndarray, bias: float, scale: tuple[float, float], limit: int = 400_000):
         self.weights, self.bias, self.scale, self.limit = weights, bias, scale, limit
         self.known: dict[str, float] = {}
 
