@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizcontacts.llm.common import ship, tokenizer_file
+from bizcontacts.llm.common import Scratch, map_batches, ship, tokenizer_file
 
 MODEL = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_TOKENS = 500_000
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20  # of encoded ids
 BLOCKS = ("shard int, block int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, "
           "control binary, data binary")
 
@@ -57,7 +57,7 @@ class ChunkIds:
     its pieces. New pieces go to the library in one batch; the memory is emptied when full.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -94,32 +94,36 @@ def _chunks(path: str) -> ChunkIds:
     return _CHUNKS.get(path) or _CHUNKS.setdefault(path, ChunkIds(path))
 
 
-def id_ranks(docs: DataFrame, path: str, end_id: int | None) -> tuple[np.ndarray, int]:
-    """(ids by falling corpus frequency, text bytes). At most one row per vocabulary id is collected."""
+def encode_texts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) with the ids of whole texts as little-endian integers of the vocabulary's width."""
+
+    def run(batch):
+        texts = batch.column("text").to_pylist()
+        return {"doc_id": batch.column("doc_id"), "ids": [ids.tobytes() for ids in _chunks(path).texts(texts)]}
+
+    return map_batches(docs, "doc_id long, ids binary", run)
+
+
+def id_ranks(encoded: DataFrame, dtype: np.dtype, end_id: int | None) -> np.ndarray:
+    """Ids by falling corpus frequency. At most one row per vocabulary id is collected."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
-        ends = size = 0
+        ends = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for ids in _chunks(path).texts(texts):
-                if len(ids):
-                    c = np.bincount(ids)
-                    if len(c) > len(total):
-                        total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                    total[:len(c)] += c
-            ends += len(texts)
-            size += batch.nbytes
+            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=len(total))
+            c[:len(total)] += total
+            total, ends = c, ends + batch.num_rows
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(seen, [-1, -2]), pa.int64()),
-             pa.array(np.append(total[seen], [ends, size]), pa.int64())], names=["id", "n"])
+            [pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(total[seen], ends), pa.int64())],
+            names=["id", "n"])
 
-    got = dict(docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect())
-    ends, size = got.pop(-1, 0), got.pop(-2, 0)
+    got = dict(encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect())
+    ends = got.pop(-1, 0)
     if end_id is not None:
         got[end_id] = got.get(end_id, 0) + ends
-    return np.array(sorted(got, key=lambda i: (-got[i], i)), np.int64), size
+    return np.array(sorted(got, key=lambda i: (-got[i], i)), np.int64)
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
@@ -127,13 +131,17 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Encode whole texts in ascending id order into a new file set at ``folder``.
 
     Null and empty texts hold the end id alone; repeated ids keep all their rows, null ids come
-    first; other columns are not read; an empty table gives a set without blocks. Documents are
-    dealt by id range, so order costs one shuffle and no task sees more than its range.
+    first; other columns are not read; an empty table gives a set without blocks. Texts are encoded
+    once, into a scratch table of ids; frequencies are counted there, and ids, not texts, are dealt by
+    range of document, so order costs one narrow shuffle and no task sees more than its range.
     """
     path = path or tokenizer_file(MODEL)
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order, size = id_ranks(source, path, end_id)
+    scratch, dtype = Scratch(spark, "token_ids"), _chunks(path).dtype
+    encoded = scratch.save(encode_texts(source, path), "encoded")
+    order = id_ranks(encoded, dtype, end_id)
+    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
@@ -142,7 +150,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
         shard, block = TaskContext.get().partitionId(), 0
         ids, held, tokens = [], [], 0
-        tail = np.array([] if end_id is None else [end_id], np.int64)
+        tail = np.array([] if end_id is None else [end_id], dtype)
 
         def flush():
             values = rank[np.concatenate(held)] if held else np.zeros(0, np.uint32)
@@ -155,10 +163,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 names=["shard", "block", "doc_ids", "doc_tokens", "n_tokens", "control", "data"])
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), _chunks(path).texts(batch.column(1).to_pylist()),
-                                strict=True):
+            for doc, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                held.append(np.concatenate([got, tail]).astype(np.int64))
+                held.append(np.concatenate([np.frombuffer(got, dtype), tail]))
                 tokens += len(held[-1])
                 if tokens >= BLOCK_TOKENS:
                     yield flush()
@@ -167,9 +174,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             yield flush()
 
     shards = max(1, -(-size // SHARD_BYTES))
-    dealt = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    dealt = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(pack, BLOCKS).write.parquet(f"{folder}/blocks")
-    spark = docs.sparkSession
+    scratch.drop(encoded)
     ranked = spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary")
     ranked.coalesce(1).write.parquet(f"{folder}/ranks")
 
