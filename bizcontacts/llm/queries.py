@@ -12,6 +12,7 @@ from bizcontacts.llm.common import Scratch, held_out, table
 from bizcontacts.llm.decontaminate import find_leaks
 from bizcontacts.llm.jaccard_join import jaccard_components
 from bizcontacts.llm.language_id import identify_languages
+from bizcontacts.llm.merkle import folded_root, merkle_manifest, proof_digest, tampered_leaf
 from bizcontacts.llm.near_vectors import near_vectors
 from bizcontacts.llm.packing import document_items, pack_documents
 from bizcontacts.llm.secret_scan import labelled_findings, secret_report, train_forest
@@ -73,7 +74,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train, carry=("held_out",))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sealed = merkle_manifest(table(spark, sf_dir, "documents"), Scratch(spark, "op11"), carry={"found": tampered_leaf()})
+    folded = sealed.withColumn("folded_root", folded_root(F.coalesce("found", "leaf")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_toxicity, op3_secret_scan, op4_near_vectors, op5_decontamination, op6_jaccard_join,
-        op7_token_files, op8_packing, op9_chat_format, op10_language_id)}
+        op7_token_files, op8_packing, op9_chat_format, op10_language_id, op11_merkle_manifest)}
