@@ -67,12 +67,12 @@ def _roots(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _descend(levels: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame:
+def _descend(levels: list[DataFrame], tops: DataFrame, scratch: Scratch, fanout: int) -> DataFrame:
     """Leaves (tree, idx, hash, item) with the siblings on their way up: those of ``tops`` (tree, path,
-    further columns) come last."""
+    further columns) come last. Paths of all but the two lowest levels, a small share, are tables of their own."""
     carried = [c for c in tops.columns if c not in ("tree", "path")]
     below = None
-    for table in reversed(levels):
+    for level, table in reversed(list(enumerate(levels))):
         ended = table.filter(_lone()).join(tops, "tree")
         run = table.filter(~_lone())
         placed = ended if below is None else ended.unionByName(
@@ -88,6 +88,8 @@ def _descend(levels: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame
         keep = ["child.idx", "child.path", *(["child.hash", "child.item"] if has_item else [])]
         below = (placed.select("tree", *carried, F.explode(F.array(*children)).alias("child"))
                  .filter("child.hash is not null").select("tree", *keep, *carried))
+        if level > 1:
+            below = scratch.save(below, "paths")
     return below
 
 
@@ -117,8 +119,8 @@ def merkle_manifest(rows: DataFrame, scratch: Scratch, columns: Sequence[str] =
                  scratch, fanout)
     # the one root; an empty table has none
     start = _roots(top).withColumn("path", F.expr(NO_PATH))
-    tops = _descend(top, start, fanout).select("item.tree", "item.subroot", "root", "path")
-    sealed = _descend(levels, scratch.save(tops, "tops"), fanout)
+    tops = _descend(top, start, scratch, fanout).select("item.tree", "item.subroot", "root", "path")
+    sealed = _descend(levels, scratch.save(tops, "tops"), scratch, fanout)
     named = [order, *(carry or {})]
     return sealed.select(*[F.col(f"item.{n}").alias(n) for n in named],
                          F.col("hash").alias("leaf"), "subroot", "root", "path")

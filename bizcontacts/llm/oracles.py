@@ -70,4 +70,72 @@ folded as (
 select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
 """
 
-ORACLES = {"op11_merkle_manifest": OP11}
+_KEY = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# states 1 to 4: nothing, system, user, assistant; lists of costs have one entry per state
+OP12 = f"""
+with recursive hit as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32(_KEY)} % 20 as rule
+  from conversations),
+damaged as (
+  select conv_id, turn, case when rule = 4 then 'user' else role end as role,
+    case rule when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from hit, unnest(case when rule = 0 then [] when rule = 3 then [0, 1] else [0] end) as copies(c)),
+keyed as (
+  select conv_id, dense_rank() over (order by conv_id nulls first) as k, turn, role, text, left(role, 1) as ini,
+    rtrim(text, {_SPACES}) as bare from damaged),
+placed as (
+  select *, row_number() over (partition by k order by turn nulls first, role, sha256(text)) as i from keyed),
+judged as (
+  select *, lag(ini) over (partition by k order by i) as earlier,
+    case when bare = '' then 'b' when row_number() over (partition by k, role, text order by i) > 1 then 'd'
+      when right(bare, 1) not in ('.', '!', '?') then 't' else '-' end as fault from placed),
+turns as (
+  select *, case fault when '-' then 0 when 't' then 3 else 1000000000 end as live from judged),
+sizes as (select k, max(i) as n from turns group by k),
+behind(k, i, b) as (
+  select k, n + 1, [0, 6, 3, 0] from sizes
+  union all
+  select k, i, [least(we, 3 + wu, 6 + wa), least(ws, 3 + wu, 6 + wa), least(wu, 3 + wa), least(wa, 3 + wu)] from (
+    select t.k, t.i,
+      least(4 + b[1], live + 3 + b[3], case ini when 's' then live + b[2] when 'u' then live + b[3] else live + 3 + b[3] end) as we,
+      least(4 + b[2], live + (case ini when 'u' then 0 else 3 end) + b[3]) as ws,
+      least(4 + b[3], live + (case ini when 'a' then 0 else 3 end) + b[4]) as wu,
+      least(4 + b[4], live + (case ini when 'u' then 0 else 3 end) + b[3]) as wa
+    from behind join turns t on t.k = behind.k and t.i = behind.i - 1) as w),
+traced(k, i, q, audit, cost, lines) as (
+  select k, 1, 1, '', 0, cast([] as varchar[]) from sizes
+  union all
+  select k, case edit when 'I' then i else i + 1 end, case edit when 'D' then q when 'K' then keep else other end,
+    audit || edit, cost + case edit when 'D' then 4 when 'I' then 3 when 'K' then live else 3 + live end,
+    case edit when 'D' then lines when 'K' then list_append(lines, role || ':' || text)
+      else list_append(lines, case other when 3 then 'user' else 'assistant' end || ':' ||
+        case edit when 'I' then '' else text end) end
+  from (
+    select *, case when i <= n and 4 + nxt[q] = b[q] then 'D' when 3 + b[other] = b[q] then 'I'
+      when i <= n and live + nxt[keep] = b[q] then 'K' when i <= n then 'R' end as edit
+    from (
+      select r.*, s.n, h.b, a.b as nxt, t.live, t.role, t.text, case q when 3 then 4 else 3 end as other,
+        case when t.ini = 's' and q = 1 then 2 when t.ini = 'u' and q <> 3 then 3 when t.ini = 'a' and q = 3 then 4 end as keep
+      from traced r join sizes s on s.k = r.k join behind h on h.k = r.k and h.i = r.i
+      left join behind a on a.k = r.k and a.i = r.i + 1
+      left join turns t on t.k = r.k and t.i = r.i) as choices) as edits
+  where edit is not null),
+ends as (
+  select k, arg_max(audit, (length(audit), i)) as audit, arg_max(cost, (length(audit), i)) as cost,
+    arg_max(lines, (length(audit), i)) as lines from traced group by k),
+counts as (
+  select k, any_value(conv_id) as conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+    count(*) filter (fault = 't') as truncated,
+    count(*) filter (earlier is not null and earlier || ini not in ('su', 'ua', 'au')) as illegal
+  from turns group by k)
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(cost, 0) as bigint) as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counts n on n.conv_id is not distinct from c.conv_id
+left join ends e on e.k = n.k
+"""
+
+ORACLES = {"op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bizcontacts.llm.chat_format import chat_digest, conversation_events, render_chats
 from bizcontacts.llm.common import Scratch, held_out, table
+from bizcontacts.llm.conversation_repair import conversation_edits, damage_turns, repair_digest
 from bizcontacts.llm.decontaminate import find_leaks
 from bizcontacts.llm.jaccard_join import jaccard_components
 from bizcontacts.llm.language_id import identify_languages
@@ -19,6 +20,7 @@ from bizcontacts.llm.secret_scan import labelled_findings, secret_report, train_
 from bizcontacts.llm.token_counts import token_counts
 from bizcontacts.llm.token_files import read_token_files, write_token_files
 from bizcontacts.llm.toxicity import score_toxicity, toxicity_model
+from bizcontacts.llm.vector_packing import pack_examples
 
 # The conversation whose texts look like the template's own marks.
 MARKED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -81,7 +83,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digest(conversation_edits(damage_turns(turns), Scratch(spark, "op12")), turns)
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_examples(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "segment", "loss_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_toxicity, op3_secret_scan, op4_near_vectors, op5_decontamination, op6_jaccard_join,
-        op7_token_files, op8_packing, op9_chat_format, op10_language_id, op11_merkle_manifest)}
+        op7_token_files, op8_packing, op9_chat_format, op10_language_id, op11_merkle_manifest,
+        op12_conversation_repair, op13_vector_packing)}

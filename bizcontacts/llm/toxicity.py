@@ -10,12 +10,14 @@ turns that into a probability.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizcontacts.llm.common import map_batches
+from bizcontacts.llm.common import ROWS_AT_ONCE, map_batches, ship
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -28,9 +30,6 @@ MIN_TEXTS = 15
 DECAY = 1e-2
 # bound of the training sample, in labelled rows
 MAX_TRAIN_ROWS = 5_000
-MAX_TRAIN_WORDS = 900_000
-# a clean text lends that many words in a row, from a random place; a toxic text all of its words
-CLEAN_WORDS = 150
 
 
 def features(word: str) -> list[int]:
@@ -87,70 +86,90 @@ def window_peak(v: np.ndarray) -> float:
     return float((c[WINDOW:] - c[:-WINDOW]).max() / WINDOW)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 80) -> Model:
+class Sample:
+    """Labelled texts as word numbers, and the subwords of each word once.
+
+    Every text keeps all of its words; what is held is one small number per word, not the texts.
+    """
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.buckets, self.sizes = array("i"), array("i")
+        self.rows: list[np.ndarray] = []
+        self.labels: list[int] = []
+
+    def add(self, text: str | None, label: int) -> None:
+        numbers = np.empty(0, np.int32)
+        words = bag_words(text)
+        if words:
+            numbers = np.fromiter(map(self._number, words), np.int32, len(words))
+        self.rows.append(numbers)
+        self.labels.append(label)
+
+    def _number(self, word: str) -> int:
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.number)
+            found = features(word)
+            self.buckets.extend(found)
+            self.sizes.append(len(found))
+        return n
+
+
+def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
     """Joint training of vectors and softmax on the windows of labelled texts.
 
     A window carries its text's label. Words of clean windows occur under both labels and stay
-    near the base rate; what only toxic texts hold stands out. Each round draws its windows anew.
+    near the base rate; what only toxic texts hold stands out. Each round draws its windows anew. A
+    fifth of the texts is kept back for the probability curve: on texts learned from, it would be too sure.
     """
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    rows = []
-    budget = MAX_TRAIN_WORDS
-    used = []
-    for t, y in zip(texts, labels, strict=True):
-        words = bag_words(t)
-        if not y and len(words) > CLEAN_WORDS:
-            at = int(rng.integers(len(words) - CLEAN_WORDS + 1))
-            words = words[at:at + CLEAN_WORDS]
-        if words and budget > 0:
-            rows.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
-            used.append(y)
-            budget -= len(words)
-    y_text = np.array(used, float)
-    if not rows or len(set(used)) < 2:
-        base = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
+    back = np.arange(len(sample.rows)) % 5 == 0
+    used = [(r, y) for r, y, b in zip(sample.rows, sample.labels, back, strict=True) if len(r) and not b]
+    rows, y_text = [r for r, _ in used], np.array([y for _, y in used], float)
+    if not rows or len(set(y_text)) < 2:
+        base = float(np.clip(y_text.mean() if rows else 0.0, 1e-3, 1 - 1e-3))
         return Model(np.zeros(BUCKETS), 0.0, (0.0, float(np.log(base / (1 - base)))))
-    lists = [np.array(features(w), np.int32) for w in number]
-    sizes = np.array([len(x) for x in lists])
-    held = np.zeros(BUCKETS, np.int32)
-    mark = np.zeros(BUCKETS, bool)
+    flat, sizes = np.frombuffer(sample.buckets, np.int32), np.frombuffer(sample.sizes, np.int32)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    held, mark = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, bool)
     for r in rows:
         mark[:] = False
-        mark[np.concatenate([lists[w] for w in np.unique(r)])] = True
+        for w in np.unique(r):
+            mark[flat[ends[w] - sizes[w]:ends[w]]] = True
         held += mark
     common = held >= min(MIN_TEXTS, max(1, len(rows) // 50))
-    lists = [x[common[x]] for x in lists]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = np.concatenate(lists).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[common[flat]]
+    flat = flat[common[flat]]
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)) * common[:, None]
     out = rng.normal(0, 0.1, DIM)
-    bias = np.log(y_text.mean() / (1 - y_text.mean()))
+    positive = y_text.mean()
+    bias = np.log(positive / (1 - positive))
     spans = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     words = np.concatenate(rows)
-    text_of = np.repeat(np.arange(len(rows)), np.diff(spans))
-    # every run of WINDOW words within a text; a shorter text is one run, padded with nothing
-    starts = np.concatenate([np.arange(a, max(b - WINDOW, a) + 1) for a, b in zip(spans[:-1], spans[1:], strict=True)])
-    home = text_of[starts]
-    first = np.searchsorted(home, np.arange(len(rows)))
-    lengths = np.minimum(WINDOW, spans[home + 1] - starts)
-    moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0]
-    positive = y_text.mean()
+    # every run of WINDOW words within a text is a window; a shorter text is one, padded with nothing
+    upto = np.cumsum([max(len(r) - WINDOW, 0) + 1 for r in rows])
+    moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(DIM), np.zeros(DIM)]
     for step in range(1, rounds + 1):
-        word_vec = np.stack([np.bincount(owner, vectors[flat, d], len(lists)) for d in range(DIM)], 1) / sizes[:, None]
-        value = (word_vec @ out)[words]
-        total = np.concatenate([[0.0], np.cumsum(value)])
-        logit = (total[starts + lengths] - total[starts]) / WINDOW + bias
-        pick = np.flatnonzero(rng.random(len(starts)) < min(1.0, ROUND_WINDOWS / len(starts)))
-        y = y_text[home[pick]]
+        word_vec = np.stack([np.bincount(owner, vectors[flat, d], len(sizes)) for d in range(DIM)], 1) / sizes[:, None]
+        value = word_vec @ out
+        pick = np.arange(upto[-1]) if upto[-1] <= ROUND_WINDOWS else rng.integers(0, upto[-1], ROUND_WINDOWS)
+        home = np.searchsorted(upto, pick, "right")
+        first = spans[home] + pick - np.concatenate([[0], upto])[home]
+        logit = np.full(len(pick), bias)
+        for k in range(WINDOW):
+            inside = first + k < spans[home + 1]
+            logit[inside] += value[words[first[inside] + k]] / WINDOW
+        y = y_text[home]
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-        z = 1 / (1 + np.exp(-np.clip(logit[pick], -30, 30)))
+        z = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g = weight * (z - y) / len(pick)
         # gradient of each word: the sum over the windows that hold it
-        diff = np.zeros(len(words) + 1)
-        diff += np.bincount(starts[pick], g, len(diff))
-        diff -= np.bincount(starts[pick] + lengths[pick], g, len(diff))
-        per_word = np.bincount(words, np.cumsum(diff[:-1]), len(lists)) / WINDOW
+        per_word = np.zeros(len(sizes))
+        for k in range(WINDOW):
+            inside = first + k < spans[home + 1]
+            per_word += np.bincount(words[first[inside] + k], g[inside], len(sizes))
+        per_word /= WINDOW
         grad_out = word_vec.T @ per_word
         per_feature = np.bincount(flat, (per_word / sizes)[owner], BUCKETS)
         grad_vec = per_feature[:, None] * out[None, :]
@@ -165,11 +184,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 80)
             param *= 1 - DECAY
         bias -= 0.5 * float(g.sum())
     weights = vectors @ out
+    value = np.bincount(owner, weights[flat], len(sizes)) / sizes
     model = Model(weights, float(bias), (1.0, 0.0))
-    word_vec = np.bincount(owner, weights[flat], len(lists)) / sizes
-    total = np.concatenate([[0.0], np.cumsum(word_vec[words])])
-    x = np.maximum.reduceat((total[starts + lengths] - total[starts]) / WINDOW, first) + bias
-    model.scale = calibrate(x, y_text, positive)
+    for chosen in (back, ~back):  # texts learned from only where none was kept back
+        found = [(window_peak(value[r]) + bias, y)
+                 for r, y, c in zip(sample.rows, sample.labels, chosen, strict=True) if c and len(r)]
+        x, y = (np.array([f[k] for f in found], float) for k in (0, 1))
+        if 0 < y.sum() < len(y):
+            model.scale = calibrate(x, y, float(y.mean()))
+            break
     return model
 
 
@@ -193,23 +216,36 @@ def calibrate(x: np.ndarray, y: np.ndarray, positive: float) -> tuple[float, flo
 def toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows (label columns doc_id, toxic), chosen by hash of the id.
 
-    Only the chosen ids, bounded in number, are broadcast to find their texts.
+    Only the chosen ids, bounded in number, are broadcast to find their texts. One task reads that
+    bounded sample and trains; the driver gets one number per bucket. Null and other labels than 0
+    and 1 teach nothing; of repeated ids the greatest label and text count; where one label is
+    missing, every text scores its base rate.
     """
+    ship(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(
         "doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-            .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-            .toPandas().sort_values("doc_id"))
-    texts, labels = list(rows["text"]), rows["toxic"].to_numpy(float)
-    # a fifth is kept back for the probability curve: on texts learned from, it would be too sure
-    back = np.arange(len(texts)) % 5 == 0
-    model = train([t for t, b in zip(texts, back, strict=True) if not b], labels[~back])
-    found = [(model.peak(t), y) for t, y, b in zip(texts, labels, back, strict=True) if b]
-    x, y = (np.array([f[k] for f in found if f[0] is not None], float) for k in (0, 1))
-    if 0 < y.sum() < len(y):
-        model.scale = calibrate(x, y, float(y.mean()))
-    return model
+            .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
+
+    def fit(batches):
+        sample = Sample()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    sample.add(text, label)
+        m = train(sample)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in ((m.weights.astype("<f8").tobytes(), pa.binary()), (m.bias, pa.float64()),
+                                           (m.scale[0], pa.float64()), (m.scale[1], pa.float64()))],
+            names=["weights", "bias", "slope", "offset"])
+
+    got = (rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+           .mapInArrow(fit, "weights binary, bias double, slope double, offset double").first())
+    if got is None:  # no labelled row at all
+        return train(Sample())
+    return Model(np.frombuffer(got["weights"], "<f8"), got["bias"], (got["slope"], got["offset"]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
