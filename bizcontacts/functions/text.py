@@ -51,10 +51,14 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE_RUN, " "))
 
 
+def search_key(c: Column | str) -> Column:
+    """Text as searches are compared by: forbidden characters dropped, blanks to ``_``."""
+    return F.replace(F.regexp_replace(col(c), KEY_FORBIDDEN, ""), F.lit(" "), F.lit("_"))
+
+
 def sanitize_key(c: Column | str) -> Column:
-    """Text as a table key: forbidden characters dropped, blanks to ``_``, cut to 100 characters."""
-    kept = F.regexp_replace(col(c), KEY_FORBIDDEN, "")
-    return F.substring(F.replace(kept, F.lit(" "), F.lit("_")), 1, KEY_LENGTH)
+    """Text as part of a file name: ``search_key`` cut to 100 characters. Two texts may share one."""
+    return F.substring(search_key(c), 1, KEY_LENGTH)
 
 
 def _anchored(words: Sequence[str], shortest: int = 4) -> list[tuple[str, list[str]]]:

@@ -48,6 +48,15 @@ def host(url: Column | str) -> Column:
     return F.lower(F.regexp_replace(authority(url), r"^.*@|:[0-9]*$", ""))
 
 
+def site_host(url: Column | str) -> Column:
+    """Host without a leading ``www.``, under which a site goes as well."""
+    return bare_host(host(url))
+
+
+def bare_host(name: Column | str) -> Column:
+    return F.regexp_replace(col(name), r"^www\.", "")
+
+
 def path(url: Column | str) -> Column:
     return F.regexp_extract(col(url), _PATH, 1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizcontacts.functions.listing import search_url
-from bizcontacts.functions.text import blank_to_null, sanitize_key, text_norm, utrim
+from bizcontacts.functions.text import blank_to_null, sanitize_key, search_key, text_norm, utrim
 from bizcontacts.operators.joins import broadcast_if_small
 from bizcontacts.operators.lookups import city_geo, country_folder
 from bizcontacts.operators.stats import percentage
@@ -128,16 +128,18 @@ def crossed_plan(cities: DataFrame, business_types: Sequence[str]) -> DataFrame:
 
 
 def with_keys(df: DataFrame, city: str = "city", keyword: str = "keyword") -> DataFrame:
-    """The key columns searches are compared by."""
-    return df.withColumns({"city_key": sanitize_key(city), "keyword_key": sanitize_key(keyword)})
+    """The key columns searches are compared by, whole, so that long keywords stay apart."""
+    return df.withColumns({"city_key": search_key(city), "keyword_key": search_key(keyword)})
 
 
 def latest_results(files: DataFrame) -> DataFrame:
-    """Newest result file per search. ``files``: city_key, keyword_key, file, mtime, rows."""
-    newest = F.max_by(F.struct("file", "mtime", "rows"), F.struct("mtime", "file")).alias("_f")
-    return files.groupBy("city_key", "keyword_key").agg(newest).select(
-        "city_key", "keyword_key", "_f.file", "_f.mtime", "_f.rows"
-    )
+    """Newest result file per search, also one without rows. ``files``: city_key, keyword_key, file, mtime, rows.
+
+    The bare ``row_number`` filter leaves one file per search and task for the shuffle.
+    """
+    newest = Window.partitionBy("city_key", "keyword_key").orderBy(F.col("mtime").desc(), F.col("file").desc())
+    ranked = files.select("city_key", "keyword_key", "file", "mtime", "rows", F.row_number().over(newest).alias("_rn"))
+    return ranked.where(F.col("_rn") == 1).drop("_rn")
 
 
 def done_searches(files: DataFrame, min_rows: int = MIN_ROWS_DONE) -> DataFrame:

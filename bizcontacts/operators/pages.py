@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizcontacts.functions import html as H
 from bizcontacts.functions import urls as U
-from bizcontacts.functions.classify import crawl_class, page_class
+from bizcontacts.functions.classify import CRAWL_CLASSES, crawl_class, page_class
 from bizcontacts.functions.emails import EMAIL_DENY, extract_emails, mailto_emails
 from bizcontacts.functions.phones import (
     LISTING_PHONE_DENY,
@@ -30,7 +30,6 @@ def page_contacts(
     phone_deny: Sequence[str] = PHONE_DENY,
     listing_phone_deny: Sequence[str] = LISTING_PHONE_DENY,
     host_match: bool = False,
-    full_entities: bool = False,
 ) -> DataFrame:
     """One contact record per page; ``pages``: page_id, url, html. Map-only.
 
@@ -40,7 +39,7 @@ def page_contacts(
     marked = pages.select("page_id", "url", H.visible_markup("html").alias("_markup"))
     read = marked.withColumns(
         {
-            "_text": H.markup_text(F.col("_markup"), sep, full_entities),
+            "_text": H.markup_text(F.col("_markup"), sep),
             "_links": H.hrefs(F.col("_markup")),
             "_country": U.tld_country("url"),
         }
@@ -48,7 +47,7 @@ def page_contacts(
     markup, text, links, country = (F.col(c) for c in ("_markup", "_text", "_links", "_country"))
 
     # tel: links come first, so the first valid number is theirs if they hold one
-    shown = F.concat(H.tel_texts(markup), H.labelled_phone_texts(markup))
+    shown = F.concat(H.tel_texts(markup, links), H.labelled_phone_texts(markup))
     listed = e164_all(F.flatten(F.transform(shown, phone_candidates)), country, listing_phone_deny)
 
     return read.select(
@@ -101,44 +100,39 @@ def site_emails(contacts: DataFrame) -> DataFrame:
 
 
 def site_first_email(contacts: DataFrame) -> DataFrame:
-    """One row per site: its alphabetically first e-mail and how many distinct ones it has."""
+    """One row per site: its alphabetically first e-mail and how many distinct ones it has.
+
+    A host with a leading ``www.`` is the same site as without.
+    """
+    bare = contacts.select(U.bare_host("host").alias("host"), "emails")
     return (
-        site_emails(contacts)
+        site_emails(bare)
         .groupBy("host")
         .agg(F.min("email").alias("site_email"), F.count(F.lit(1)).alias("n_emails"))
     )
 
 
-def domain_contacts(contacts: DataFrame, max_pages: int = U.MAX_PAGES_PER_SITE,
-                    paths: Sequence[str] = U.CONTACT_PATHS) -> DataFrame:
-    """One nested record per site.
+def domain_contacts(contacts: DataFrame, paths: Sequence[str] = U.CONTACT_PATHS) -> DataFrame:
+    """One nested record per site, from all of its pages.
 
     Pages rank as they would be visited: contact paths in their order, others behind them by URL.
-    The first page gives name, phones, address, accounts and description; e-mails come from the
-    first ``max_pages`` pages, which is the site limit of the job and bounds the gathered row.
-    ``site_emails`` has the e-mails of all pages.
+    The first page gives name, phones, address, accounts and description; e-mails are the distinct
+    ones of all pages. Tasks send on one front page and the distinct addresses per site, so what is gathered
+    does not grow with a site's pages.
     """
     bare = F.regexp_replace(U.path("url"), "/+$", "")
     known = F.array_position(F.array(*[F.lit(p) for p in paths]), bare)
     place = F.when(known > 0, known).otherwise(F.lit(len(paths) + 1))
-    window = Window.partitionBy("host").orderBy(place, "url", "page_id")
-    ranked = (
-        contacts.where(F.col("host") != "")
-        .withColumn("_rank", F.row_number().over(window))
-        .where(F.col("_rank") <= max_pages)
-    )
-    first = F.col("_rank") == 1
     front = F.struct("url", "company_name", "phones", "address", "social_media", "description")
-    gathered = ranked.groupBy("host").agg(
-        F.collect_list(F.struct(F.when(first, front).alias("front"), F.col("emails"))).alias("_pages")
-    )
-    home = F.element_at(F.filter("_pages", lambda p: p["front"].isNotNull()), 1)["front"]
-    emails = F.sort_array(F.array_distinct(F.flatten(F.col("_pages.emails"))))
-    return gathered.select("host", emails.alias("emails"), home.alias("_home")).select(
+    shown = contacts.where(F.col("host") != "").select(
+        "host", F.struct(place.alias("place"), "url", "page_id").alias("_visit"), front.alias("_front"),
+        F.explode_outer("emails").alias("_email"))
+    sites = shown.groupBy("host").agg(F.min_by("_front", "_visit").alias("_home"), F.collect_set("_email").alias("_found"))
+    return sites.select(
         "host",
         U.base_url("_home.url").alias("website"),
         "_home.company_name",
-        "emails",
+        F.sort_array("_found").alias("emails"),
         "_home.phones",
         "_home.address",
         "_home.social_media",
@@ -185,12 +179,17 @@ def successful(log: DataFrame) -> DataFrame:
 
 def crawl_outcomes(log: DataFrame) -> DataFrame:
     """Last outcome per URL; ``log``: url, status, error, ts, event_id (breaks ties of ts)."""
-    classed = log.select("url", "ts", "event_id", crawl_class("status", "error").alias("outcome"),
+    classes = F.array(*[F.lit(c) for c in CRAWL_CLASSES])
+    classed = log.select("url", "ts", "event_id", F.array_position(classes, crawl_class("status", "error")).alias("_class"),
                          (F.col("status") == 200).alias("_ok"))
-    return classed.groupBy("url").agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if("_ok").alias("ok_attempts"),
-        F.max_by("outcome", F.struct("ts", "event_id")).alias("outcome"),
+    # times and class numbers, unlike texts and structs, are held in place: no sort per task
+    last = classed.groupBy("url", "ts").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_ok").alias("_oks"),
+        F.max_by("_class", "event_id").alias("_class"))
+    return last.groupBy("url").agg(
+        F.sum("_n").alias("attempts"),
+        F.sum("_oks").alias("ok_attempts"),
+        F.get(classes, (F.coalesce(F.max_by("_class", "ts"), F.max("_class")) - 1).cast("int")).alias("outcome"),
     )
 
 

@@ -18,7 +18,7 @@ from bizcontacts.operators.dedup import cascade_dedup, dedup_report
 from bizcontacts.operators.enrich import enrich_emails
 from bizcontacts.operators.lookups import phone_country
 from bizcontacts.operators.stats import lead_stats, row_counts, top_by_rows, top_k_per_group
-from bizcontacts.sources.leads import LINE_ORDER, read_leads
+from bizcontacts.sources.leads import LINE_ORDER, lead_rejects, read_leads
 from bizcontacts.sources.sinks import write_leads
 
 # Greatest number of results of one search.
@@ -44,9 +44,9 @@ def page_contacts(pages: DataFrame, **options) -> DataFrame:
     return P.page_contacts(pages, **options)
 
 
-def domain_contacts(pages: DataFrame, max_pages: int = 5, **options) -> DataFrame:
+def domain_contacts(pages: DataFrame, **options) -> DataFrame:
     """Pages -> one nested contact record per site."""
-    return P.domain_contacts(P.page_contacts(pages, **options), max_pages)
+    return P.domain_contacts(P.page_contacts(pages, **options))
 
 
 def page_links(pages: DataFrame, must_contain: str | None = None) -> DataFrame:
@@ -164,5 +164,5 @@ def crawl_quality(log: DataFrame) -> DataFrame:
 __all__ = [
     "extract_contacts", "page_contacts", "domain_contacts", "page_links", "normalise_listings",
     "merge_dedup", "merge_lead_files", "campaign_variant", "enrich_leads", "lead_report", "limit_results", "campaign", "page_quality",
-    "content_pages", "crawl_quality", "dedup_report", "row_counts", "top_by_rows",
+    "content_pages", "crawl_quality", "dedup_report", "lead_rejects", "row_counts", "top_by_rows",
 ]

@@ -40,8 +40,12 @@ def present(c: str) -> str:
     return f"({norm(c)} not in ('', 'nan'))"
 
 
+def whole_key(c: str) -> str:
+    return f"replace(regexp_replace({c}, '[<>:\"/\\\\|?*]', '', 'g'), ' ', '_')"
+
+
 def key(c: str) -> str:
-    return f"substr(replace(regexp_replace({c}, '[<>:\"/\\\\|?*]', '', 'g'), ' ', '_'), 1, 100)"
+    return f"substr({whole_key(c)}, 1, 100)"
 
 
 def with_views(names: Sequence[str], *ctes: str) -> str:
@@ -56,9 +60,11 @@ def first_match(text: str, pattern: str, group: int = 1) -> str:
 # --- building blocks ---------------------------------------------------------------------------
 
 EMAILS = f"regexp_extract_all(text, {rx(E.EMAIL_PATTERN)})"
-CANDS = " || ".join(f"regexp_extract_all(text, {rx(p)})" for p in N.PHONE_PATTERNS)
+# a no-break space is white space to the patterns, but not to RE2
+CANDS = " || ".join(f"regexp_extract_all(replace(text, chr(160), ' '), {rx(p)})" for p in N.PHONE_PATTERNS)
 LANG_ISO = "case when lang = 'en' then 'US' else upper(lang) end"
-PLAN = "(select * from " + dims.values_sql(N.Plan._fields, N.NUMBERING_PLAN, "pl") + ")"
+PLAN = "(select * from " + dims.values_sql(N.Plan._fields, N.ALL_PLANS, "pl") + ")"
+PREFIX = "(select * from " + dims.values_sql(("prefix", "iso"), N.PREFIXES, "px") + ")"
 
 
 def denied_email(c: str, deny: Sequence[str]) -> str:
@@ -81,18 +87,19 @@ def e164_ctes(source: str, carry: str, deny: Sequence[str], mode: str = "anywher
         has_any(target, deny) if target and deny
         else "(" + " or ".join(f"starts_with(n4, {lit(d)})" for d in deny) + ")" if deny else "false"
     )
-    cc = "coalesce(a1.cc, a2.cc, a3.cc)"
     rest3, rest4 = "substr(n, length(p.cc) + 1)", "substr(n3, length(p.trunk) + 1)"
     return [
         f"plan{tag} as {PLAN}",
+        f"prefix{tag} as {PREFIX}",
         f"""s0{tag} as (select distinct {carry}, iso, raw, regexp_replace(raw, '[^0-9]', '', 'g') as d,
             regexp_matches(raw, '^[^0-9]*\\+') as plus from {source})""",
         f"""s1{tag} as (select s.*, case when plus then d when starts_with(d, h.idd) then substr(d, length(h.idd) + 1)
             end as intl from s0{tag} s left join plan{tag} h on h.iso = s.iso)""",
-        f"""s2{tag} as (select s.*, case when intl is not null then coalesce(a1.iso, a2.iso, a3.iso) else s.iso end as piso,
-            case when intl is not null then substr(intl, length({cc}) + 1) else d end as n
-            from s1{tag} s left join plan{tag} a1 on a1.cc = substr(intl, 1, 1)
-            left join plan{tag} a2 on a2.cc = substr(intl, 1, 2) left join plan{tag} a3 on a3.cc = substr(intl, 1, 3))""",
+        f"""r{tag} as (select intl as dialled, arg_max(iso, length(prefix)) as there
+            from (select distinct intl from s1{tag}) join prefix{tag} on starts_with(intl, prefix) group by intl)""",
+        f"""s2{tag} as (select s.*, case when intl is not null then there else s.iso end as piso,
+            case when intl is not null then substr(intl, length(a.cc) + 1) else d end as n
+            from s1{tag} s left join r{tag} on dialled = intl left join plan{tag} a on a.iso = there)""",
         f"""s3{tag} as (select s.*, case when starts_with(n, p.cc) and not {_ok('n', 'p')} and {_ok(rest3, 'p')}
             then {rest3} else n end as n3 from s2{tag} s join plan{tag} p on p.iso = s.piso)""",
         f"""s4{tag} as (select s.*, case when p.trunk <> '' and starts_with(n3, p.trunk)
@@ -107,11 +114,42 @@ def markup(html: str = "html") -> str:
     return f"regexp_replace({html}, {rx(H._HIDDEN)}, '', 'g')"
 
 
-def entities(text: str) -> str:
-    out = text
-    for reference, sign in H.ENTITIES:
-        out = f"replace({out}, {lit(reference)}, {lit(sign)})"
-    return out
+def _cases(value: str, signs: dict) -> str:
+    return f"case {value} " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in signs.items()) + " end"
+
+
+# Names the views use, and all that go without a semicolon.
+_NAMES = {n: H.NAMES[n] for n in (*[f"{old};" for old in H.OLD_NAMES], "hellip;", "euro;", "apos;")}
+
+
+def _numeric(p: str) -> str:
+    whole = f"regexp_extract({p}, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?')"
+    tens = f"try_cast(nullif(regexp_extract({p}, '^#0*([0-9]{{1,9}})(?:[^0-9]|$)', 1), '') as bigint)"
+    hexed = f"try_cast('0x' || nullif(regexp_extract({p}, '^#[xX]0*([0-9a-fA-F]{{1,7}})(?:[^0-9a-fA-F]|$)', 1), '') as bigint)"
+    code = f"coalesce({tens}, {hexed}, 1114112)"
+    c1 = "case c " + " ".join(f"when {n} then {lit(sign)}" for n, sign in H.C1_SIGNS.items()) + " end"
+    sign = (f"case when c = 13 then chr(13) when c = 0 or c between 55296 and 57343 or c > 1114111 then {lit(H.REPLACEMENT)}"
+            f" when c between 128 and 159 then {c1} when c between 1 and 8 or c = 11 or c between 14 and 31 or c = 127"
+            " or c between 64976 and 65007 or (c & 65535) in (65534, 65535) then '' else chr(cast(c as integer)) end")
+    return (f"case when {whole} = '' then '&' || {p} else list_transform([{code}], lambda c: {sign})[1]"
+            f" || substr({p}, length({whole}) + 1) end")
+
+
+def _named(p: str, attribute: bool) -> str:
+    name = f"regexp_extract({p}, '^[A-Za-z][A-Za-z0-9]{{1,31}};')"
+    tries = [f"{_cases(name, _NAMES)} || substr({p}, length({name}) + 1)"]
+    for n in H.OLD_LENGTHS:
+        sign = _cases(f"substr({p}, 1, {n})", {k: v for k, v in H.OLD_NAMES.items() if len(k) == n})
+        if attribute:
+            sign = f"case when not regexp_matches(substr({p}, {n + 1}, 1), '[A-Za-z0-9=]') then {sign} end"
+        tries.append(f"{sign} || substr({p}, {n + 1})")
+    return f"coalesce({', '.join(tries)}, '&' || {p})"
+
+
+def entities(text: str, attribute: bool = False) -> str:
+    common = " ".join(f"when starts_with(p, {lit(r[1:])}) then {lit(sign)} || substr(p, {len(r)})" for r, sign in H.ENTITIES)
+    return (f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: case when i = 1 then p {common}"
+            f" when starts_with(p, '#') then {_numeric('p')} else {_named('p', attribute)} end), '')")
 
 
 def text_of(m: str, sep: str = " ") -> str:
@@ -119,15 +157,24 @@ def text_of(m: str, sep: str = " ") -> str:
 
 
 def inner(m: str, tag: str) -> str:
-    found = f"regexp_extract({m}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
+    found = f"regexp_extract({m}, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|\\z)', 1)"
     return f"nullif({trim(text_of(found, ''))}, '')"
 
 
-def meta(m: str, attribute: str, name: str) -> str:
-    tag = f"""regexp_extract({m}, '<(?i:meta)\\b[^>]*\\b(?i:{attribute})\\s*=\\s*["'']{name}["''][^>]*>')"""
-    double = f"nullif(regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*\"([^\"]*)\"', 1), '')"
-    single = f"regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*''([^'']*)''', 1)"
-    return f"nullif({trim(entities(f'coalesce({double}, {single})'))}, '')"
+def tags(m: str, name: str) -> str:
+    return f"regexp_extract_all({m}, '(?is)<{name}([\\s/][^>]*)', 1)"
+
+
+def attribute(tag: str, name: str) -> str:
+    found = (f"list_filter(regexp_extract_all({tag}, {rx(H._ATTRIBUTE)}), "
+             f"lambda a: lower(regexp_extract(a, {rx(H._NAME)})) = '{name}')[-1]")
+    value = f"regexp_extract({found}, {rx(H._VALUE)}, 1)"
+    return rf"regexp_replace({value}, {rx(H._QUOTES)}, '\1\2')"
+
+
+def meta(m: str, by: str, name: str) -> str:
+    found = f"list_filter({tags(m, 'meta')}, lambda t: {attribute('t', by)} = '{name}')[1]"
+    return f"nullif({trim(entities(attribute(found, 'content'), True))}, '')"
 
 
 def company(m: str) -> str:
@@ -139,8 +186,8 @@ def about(m: str) -> str:
 
 
 def links(m: str) -> str:
-    tags = f"""regexp_extract_all({m}, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*("[^"]*"|''[^'']*'')', 1)"""
-    return f"list_transform({tags}, lambda q: {entities('substr(q, 2, length(q) - 2)')})"
+    found = f"list_filter(list_transform({tags(m, 'a')}, lambda t: {attribute('t', 'href')}), lambda h: h is not null)"
+    return f"list_transform({found}, lambda h: {entities('h', True)})"
 
 
 def snippet(t: str) -> str:
@@ -154,6 +201,7 @@ def snippet(t: str) -> str:
 
 AUTHORITY = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 HOST = f"lower(regexp_replace({AUTHORITY}, '^.*@|:[0-9]*$', '', 'g'))"
+SITE_KEY = r"regexp_replace(host, '^www\.', '')"
 BASE = f"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {AUTHORITY}"
 TLD = f"upper(string_split({AUTHORITY}, '.')[-1])"
 TLD_ISO = "case " + TLD + " " + " ".join(f"when '{k}' then '{v}'" for k, v in U.TLD_COUNTRY.items()) + " else 'US' end"
@@ -161,22 +209,25 @@ TLD_ISO = "case " + TLD + " " + " ".join(f"when '{k}' then '{v}'" for k, v in U.
 # pages_contact -> one row per page with every contact field
 CONTACTS = [
     f"marked as (select page_id, url, {markup()} as m from pages_contact)",
-    f"""pread as (select page_id, url, m, {text_of('m')} as text, {links('m')} as hrefs, {HOST} as host, {TLD_ISO} as iso,
-        regexp_extract_all(m, '(?is)\\bhref\\s*=\\s*["'']tel:([^"'']*)["'']', 1) as tels from marked)""",
+    f"""pread as (select page_id, url, m, {text_of('m')} as text, {links('m')} as hrefs, {HOST} as host, {TLD_ISO} as iso
+        from marked)""",
     f"""pmails as (select page_id, host, unnest(list_filter({EMAILS}, lambda e: not {denied_email('e', R.DENY)})
             || list_filter(list_transform(list_filter(hrefs, lambda h: starts_with(h, 'mailto:')),
                lambda h: {trim("split_part(replace(h, 'mailto:', ''), '?', 1)")}), lambda e: contains(e, '@'))) as email
         from pread)""",
     "pmail as (select distinct page_id, host, email from pmails)",
-    f"pcand as (select page_id, iso, unnest({CANDS}) as raw from pread)",
-    *e164_ctes("pcand", "page_id", N.PHONE_DENY, tag="p"),
-    "ptel as (select page_id, iso, unnest(tels) as text from pread)",
-    f"tcand as (select page_id, iso, unnest({CANDS}) as raw from ptel)",
-    *e164_ctes("tcand", "page_id", N.LISTING_PHONE_DENY, tag="t"),
+    f"pcand as (select page_id, iso, unnest({CANDS}) as raw, generate_subscripts({CANDS}, 1) as k from pread)",
+    *e164_ctes("pcand", "page_id, k", N.PHONE_DENY, tag="p"),
+    """ptels as (select page_id, iso, list_transform(list_filter(hrefs, lambda h: starts_with(h, 'tel:')), lambda h: substr(h, 5))
+        as tels from pread)""",
+    "ptel as (select page_id, iso, unnest(tels) as text, generate_subscripts(tels, 1) as place from ptels)",
+    f"tcand as (select page_id, iso, place, unnest({CANDS}) as raw, generate_subscripts({CANDS}, 1) as k from ptel)",
+    *e164_ctes("tcand", "page_id, place, k", N.LISTING_PHONE_DENY, tag="t"),
     f"""contacts as (select r.page_id, url, host, {company('m')} as company_name, {about('m')} as description,
           coalesce((select string_agg(email, ',' order by email) from pmail e where e.page_id = r.page_id), '') as emails,
           coalesce((select string_agg(distinct e164, ',' order by e164) from e164p e where e.page_id = r.page_id), '') as phones,
-          (select min(e164) from e164t e where e.page_id = r.page_id) as listed_phone,
+          (select arg_min(e164, k) from e164p e where e.page_id = r.page_id) as phone,
+          (select arg_min(e164, struct_pack(a := place, b := k)) from e164t e where e.page_id = r.page_id) as listed_phone,
           {snippet('text')} as address, hrefs
         from pread r)""",
 ]
@@ -197,9 +248,8 @@ SITES = [
     f"""ranked as (select *, row_number() over (partition by host order by
           case regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
             {_PLACES} else 99 end, url, page_id) as rk from contacts where host <> '')""",
-    f"""smail as (select distinct r.host, email from ranked r join pmail e on e.page_id = r.page_id
-        where rk <= {U.MAX_PAGES_PER_SITE})""",
-    f"""sites as (select host, {BASE} as website, company_name, phones, address, description,
+    "smail as (select distinct host, email from pmail)",
+    f"""sites as (select host, {BASE} as website, company_name, phone, phones, address, description,
           (select min(email) from smail e where e.host = r.host) as email,
           (select string_agg(email, ', ' order by email) from smail e where e.host = r.host) as all_emails,
           {", ".join(social(p) for p in H.SOCIAL_PLATFORMS)}
@@ -317,6 +367,10 @@ ORACLES: dict[str, str] = {
         f"cand as (select doc_id, lang, {LANG_ISO} as iso, unnest({CANDS}) as raw from documents)",
         *e164_ctes("cand", "doc_id, lang", N.PHONE_DENY),
     ]) + " select distinct doc_id, lang, e164 as phone from e164",
+    "q_phone_prefix": with_views(["dialled"],
+        *e164_ctes("(select ord, 'US' as iso, number as raw from dialled)", "ord", ()))
+        + f""" select d.ord, d.number, (select arg_max(iso, length(prefix)) from {PREFIX}
+          where starts_with(substr(number, 2), prefix)) as region, e164 from dialled d left join e164 using (ord)""",
     "q_phone_denylist": "with " + ",\n".join([
         f"cand as (select doc_id, lang, 'US' as iso, unnest({CANDS}) as raw from documents)",
         *e164_ctes("cand", "doc_id, lang", (), tag="n"),
@@ -356,7 +410,7 @@ ORACLES: dict[str, str] = {
     "q_page_contacts": with_views(["pages_contact"], *CONTACTS)
         + """ select page_id, host, company_name, emails, phones, listed_phone, address, description from contacts""",
     "q_domain_contacts": with_views(["pages_contact"], *CONTACTS, *SITES)
-        + """ select company_name, website, email, all_emails, nullif(phones, '') as all_phones, address, description,
+        + """ select company_name, website, email, all_emails, phone, nullif(phones, '') as all_phones, address, description,
         facebook, instagram, linkedin, twitter from sites""",
     "q_domain_stats": with_views(["pages_contact"], *CONTACTS, *SITES,
         """agg as (select count(*) as total_domains, count(all_emails) as with_email,
@@ -380,12 +434,12 @@ ORACLES: dict[str, str] = {
           when contains(u, {lit(K.BLOCK_URL)}) or {has_any('b', K.BLOCK_PHRASES)} then 'blocked'
           when {has_any('b', K.POPUP_PHRASES)} then 'popup' else 'content' end as page_class from c""",
     "q_enrich_email": with_views(["pages_contact", "page_leads"], *CONTACTS,
-        "first_mail as (select host, min(email) as site_email from pmail group by host)",
+        f"first_mail as (select {SITE_KEY} as site, min(email) as site_email from pmail group by 1)",
         f"""w as (select *, case when regexp_matches(website, '^https?://') then website else 'https://' || website end as url
              from page_leads)""")
         + f""" select ord, business_name, case when {present('email')} or website is null then email
           else coalesce(site_email, email) end as email, website
-        from w left join first_mail on first_mail.host = {HOST}""",
+        from w left join first_mail on site = {SITE_KEY.replace('host', HOST)}""",
     # crawl log
     "q_crawl_outcomes": with_views(["crawl_log"])
         + f""" select url, count(*) as attempts, count(*) filter (where status = 200) as ok_attempts,
@@ -394,7 +448,24 @@ ORACLES: dict[str, str] = {
         + f" select {crawl_case()} as error_class, count(*) as attempts from crawl_log group by 1",
     # leads
     "q_lead_dedup": with_views(["leads_raw"], *cascade("leads_raw"))
-        + " select ord, business_name, phone, address, city, rating from kept",
+        + """ select ord, business_name, phone, address, city, rating,
+        cast(case when k2 then 0 when k1 then 1 else 2 end as bigint) as part from kept""",
+    "q_unkeyed_dedup": with_views(["leads_raw"])
+        + f""" select city, count(*) as n_rows from leads_raw where not ({present('phone')} and {present('business_name')})
+        and not ({present('business_name')} and {present('address')}) group by city""",
+    "q_lead_rows": """with d as (select *, o_custkey % 2 = 0 as even from orders where o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0)
+        select 'part_' || (o_custkey % 6) || '.csv' as file, cast(10 + o_orderkey as bigint) as pos,
+          case when even then 'Shop "' || o_custkey || '", Ltd' else 'Caf, ' || o_custkey end as business_name,
+          case when even and o_orderkey % 5 <> 0 then '+4420' || o_orderkey end as phone,
+          case when even then 'Town' end as city, case when not even then '0' || (o_orderkey % 900) end as postal_code,
+          case when even then (o_orderkey % 50) + 0.5::double when o_orderkey % 7 <> 0 then (o_orderkey % 9)::double end as rating,
+          case when even then 'n, ' || o_orderkey else 'first' end as note,
+          case when not even then 'second' end as second_note from d""",
+    "q_lead_rejects": with_views(["lead_lines", "lead_file_list"])
+        + """ select file, pos, 'long' as reason, line as record from lead_lines
+        where pos >= 10 and (pos - 10) % 17 = 0 and (pos - 10) % 19 <> 0
+        union all select file, cast(null as bigint), 'empty', cast(null as varchar) from lead_file_list
+        where file not in (select file from lead_lines where trim(line) <> '')""",
     "q_dedup_report": with_views(["leads_raw"], *cascade("leads_raw"))
         + """ select b as rows_before, a as rows_after, b - a as removed
         from (select (select count(*) from leads_raw) as b, (select count(*) from kept) as a)""",
@@ -436,16 +507,16 @@ ORACLES: dict[str, str] = {
         left join {KEYWORD.replace(') as k(', ') as o(')} on o.business_type = b.business_type and o.language = 'de'
         left join {KEYWORD.replace(') as k(', ') as e(')} on e.business_type = b.business_type and e.language = 'en'""",
     "q_skip_existing": with_views(["plan_cities", "result_files"],
-        f"""pl as (select city, s.keyword, {key('city')} as city_key, {key('s.keyword')} as keyword_key
+        f"""pl as (select city, s.keyword, {whole_key('city')} as city_key, {whole_key('s.keyword')} as keyword_key
              from plan_cities, {dims.values_sql(('keyword',), [(s,) for s in R.SEGMENTS], 's')})""",
-        f"""done as (select {key('city')} as ck, {key('keyword')} as kk,
+        f"""done as (select {whole_key('city')} as ck, {whole_key('keyword')} as kk,
              arg_max(n_rows, struct_pack(a := mtime, b := file)) as n from result_files group by 1, 2)""")
         + """ select city, keyword, city_key, keyword_key, case when n >= 2 then 'SKIP' else 'SCRAPE' end as action,
         coalesce(n, 0) as row_count, case when n is null then 'No existing data'
           when n >= 2 then 'Already scraped (' || n || ' results)' else 'Low results (' || n || ')' end as reason
         from pl left join done on ck = city_key and kk = keyword_key""",
     "q_existing_latest": with_views(["result_files"])
-        + f""" select {key('city')} as city_key, {key('keyword')} as keyword_key,
+        + f""" select {whole_key('city')} as city_key, {whole_key('keyword')} as keyword_key,
         arg_max(file, struct_pack(a := mtime, b := file)) as file,
         arg_max(n_rows, struct_pack(a := mtime, b := file)) as n_rows from result_files group by 1, 2""",
     "q_progress_summary": with_views(["progress_lines"],

@@ -18,10 +18,11 @@ from bizcontacts.operators import contacts as T
 from bizcontacts.operators import lookups as K
 from bizcontacts.operators import pages as P
 from bizcontacts.operators import stats as S
-from bizcontacts.operators.dedup import cascade_dedup, dedup_report
+from bizcontacts.operators.dedup import cascade_dedup, dedup_report, output_part
 from bizcontacts.plans import jobs as J
 from bizcontacts.plans.views import load
 from bizcontacts.sources import dims
+from bizcontacts.sources import leads as SL
 from bizcontacts.sources.sinks import export_columns, result_name, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,9 @@ pl|1|confectionery_pl|cukiernia|pl
 """.strip().splitlines()
 
 BUSINESS_TYPES = ("spice_wholesaler", "baking_wholesaler", "ingredient_supplier", "horeca_supplier")
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NEW TERM")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NEW TERM",
+            # alike in the 100 characters that a file name holds
+            "long " * 21 + "one", "long " * 21 + "two")
 STAMP = "2024-01-02 03:04:05"
 
 
@@ -100,6 +103,13 @@ def q_doc_phones(spark, sf):
     return T.text_phones(docs, "text", lang_country())
 
 
+def q_phone_prefix(spark, sf):
+    dialled = load(spark, sf, "dialled")
+    number = F.col("number")
+    return dialled.select("ord", "number", N.phone_region(number).alias("region"),
+                          N.e164(number, F.lit("US"), ()).alias("e164"))
+
+
 def q_phone_denylist(spark, sf):
     docs = documents(spark, sf).select("lang", "text")
     cands = docs.select("lang", N.phone_candidates("text").alias("_c"))
@@ -178,7 +188,7 @@ def q_page_contacts(spark, sf):
 def q_domain_contacts(spark, sf):
     domains = P.domain_contacts(contacts(spark, sf))
     flat = P.flat_domain_contacts(domains, F.to_timestamp(F.lit(STAMP)))
-    return flat.withColumn("all_phones", joined(F.split("all_phones", ", "))).drop("phone", "scraped_date")
+    return flat.withColumn("all_phones", joined(F.split("all_phones", ", "))).drop("scraped_date")
 
 
 def q_domain_stats(spark, sf):
@@ -229,8 +239,25 @@ def q_crawl_errors(spark, sf):
 # --- leads -------------------------------------------------------------------------------------
 
 def q_lead_dedup(spark, sf):
-    kept = cascade_dedup(leads(spark, sf), ["ord"])
-    return kept.select("ord", "business_name", "phone", "address", "city", "rating")
+    kept = cascade_dedup(leads(spark, sf), ["ord"], keep_marks=True)
+    return kept.select("ord", "business_name", "phone", "address", "city", "rating",
+                       output_part().cast("bigint").alias("part"))
+
+
+def q_unkeyed_dedup(spark, sf):
+    """Rows told apart by nothing but the day: none without keys is lost."""
+    kept = cascade_dedup(leads(spark, sf).drop("ord"), ["scraped_date"], keep_marks=True)
+    return S.row_counts(kept.where(output_part() == 2), ["city"], "n_rows")
+
+
+def q_lead_rows(spark, sf):
+    rows = SL.lead_rows(load(spark, sf, "lead_lines"))
+    return rows.select("file", "pos", "business_name", "phone", "city", "postal_code", "rating",
+                       F.col("_other")["note"].alias("note"), F.col("_other")["_c4"].alias("second_note"))
+
+
+def q_lead_rejects(spark, sf):
+    return SL.line_rejects(load(spark, sf, "lead_lines"), load(spark, sf, "lead_file_list"))
 
 
 def q_dedup_report(spark, sf):

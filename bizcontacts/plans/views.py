@@ -61,7 +61,18 @@ VIEWS = {
           when page_id % 8 = 5 then concat('<a href="https://www.facebook.com/shop', cast(page_id as varchar(20)),
                '">f</a><a href="https://x.com/shop">x</a><a href="https://fb.com/new">f</a>')
           when page_id % 8 = 6 then '<div class="box" id="captcha-box">x</div>'
-          else '<p>We use cookies on this site</p>' end) as html
+          else '<p>We use cookies on this site</p>' end,
+          case page_id % 11
+          when 0 then '<p>Caf&eacute; Cr&egraveme &#233;t&#xE9; &hellip; &unknown; AT&T &#0; &#128; &#x1F600; &#99999999999; &#xffff;</p>'
+          when 1 then concat('<a href=mailto:plain@shop', cast(page_id % 20 as varchar(20)),
+               '.fr>m</a><a class=x HREF = "mailto:a&#64;shop4.fr?x=1" hidden>q</a><a href=tel:+33142654321>t</a>')
+          when 2 then concat('<h1>Open</h1><!-- no end <p>lost', cast(page_id as varchar(20)), '@shop.fr</p>')
+          when 3 then '<a data-x title=y href=/rel/path?x=1&amp;y=2&copy=3>r</a><a name=anchor>n</a><a href>e</a>'
+          when 4 then '<meta name=description content=Plain&#x21;><meta content="T&ecirc;te" name=x>'
+          when 5 then '<a rel="me" href=https://www.instagram.com/shop&amp;co>i</a>'
+          when 6 then '<script>var a = "hidden@shop.fr"'
+          when 7 then '<p>Tel: 01 42 65 43 22 or +33&nbsp;142654323</p><p class="x'
+          else '' end) as html
         from {pages}
     """,
     # site addresses under many top-level domains
@@ -125,6 +136,12 @@ VIEWS = {
           case when doc_id % 5 = 0 then '' else concat(source, ' ', lang) end as keyword
         from {documents}
     """,
+    # international numbers under all calling codes
+    "dialled": """
+        select o_orderkey as ord, concat('+', cast(10000000000 + (o_orderkey * 7919 + o_custkey * 104729) * 7853 % 89999999999
+          as varchar(20))) as number
+        from {orders}
+    """,
     # a campaign: city lines and their position
     "city_lines": """
         select c_custkey as seq, concat('Town ', cast(c_custkey % 1300 as varchar(20)), '|',
@@ -134,10 +151,44 @@ VIEWS = {
     # result files of earlier searches
     "result_files": """
         select concat(n_name, ' ', cast(o_custkey % 40 as varchar(20))) as city, c_mktsegment as keyword,
-          concat('part_', cast(year(o_orderdate) as varchar(4))) as file, max(o_orderdate) as mtime, count(*) as n_rows
+          concat('part_', cast(year(o_orderdate) as varchar(4))) as file, max(cast(o_orderdate as timestamp)) as mtime, count(*) as n_rows
         from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
         group by concat(n_name, ' ', cast(o_custkey % 40 as varchar(20))), c_mktsegment,
           concat('part_', cast(year(o_orderdate) as varchar(4)))
+        union all
+        select distinct concat(n_name, ' ', cast(c_custkey % 40 as varchar(20))), c_mktsegment, 'part_empty',
+          timestamp '2100-01-01 00:00:00', cast(0 as bigint)
+        from {customer} join {nation} on c_nationkey = n_nationkey where c_custkey % 3 = 0
+        union all
+        select distinct concat(n_name, ' ', cast(c_custkey % 40 as varchar(20))), concat(repeat('long ', 21), 'one'), 'part_long',
+          timestamp '2024-01-01 00:00:00', cast(5 as bigint)
+        from {customer} join {nation} on c_nationkey = n_nationkey where c_custkey % 5 = 0
+    """,
+    # lines of lead files of two layouts: quoted cells, blank lines, rows that are too long
+    "lead_lines": """
+        select concat('part_', cast(k as varchar(4)), '.csv') as file, cast(2 as bigint) as pos,
+          case when k % 2 = 0 then 'business_name,phone,city,rating,note'
+               else 'rating,phone,note,business_name,note,postal_code' end as line
+        from (select distinct o_custkey % 6 as k from {orders}) as files
+        union all
+        select concat('part_', cast(k as varchar(4)), '.csv'), cast(1 as bigint), '  '
+        from (select distinct o_custkey % 7 as k from {orders}) as files
+        union all
+        select concat('part_', cast(o_custkey % 6 as varchar(4)), '.csv'), cast(10 + o_orderkey as bigint),
+          case when o_orderkey % 19 = 0 then ' '
+            when o_custkey % 2 = 0 then concat('"Shop ""', cast(o_custkey as varchar(20)), '"", Ltd",',
+              case when o_orderkey % 5 = 0 then 'nan' else concat('+4420', cast(o_orderkey as varchar(20))) end, ',Town,',
+              cast(o_orderkey % 50 as varchar(4)), '.5,"n, ', cast(o_orderkey as varchar(20)), '"',
+              case when o_orderkey % 17 = 0 then ',x,y' else '' end)
+            else concat(case when o_orderkey % 7 = 0 then 'none' else cast(o_orderkey % 9 as varchar(4)) end, ',,first,"Caf, ',
+              cast(o_custkey as varchar(20)), '",second,0', cast(o_orderkey % 900 as varchar(20)),
+              case when o_orderkey % 17 = 0 then ',,,z' else '' end) end
+        from {orders}
+    """,
+    # all files of that set: one has blank lines only, one no line at all
+    "lead_file_list": """
+        select distinct concat('part_', cast(case when o_custkey % 8 = 7 then 9 else o_custkey % 8 end as varchar(4)), '.csv') as file
+        from {orders}
     """,
     # cities of a plan that partly has results already
     "plan_cities": """
@@ -191,7 +242,8 @@ VIEWS = {
         select o_orderkey as ord, concat('Biz ', cast(o_custkey as varchar(20))) as business_name,
           case when o_orderkey % 5 = 0 then concat('own', cast(o_orderkey as varchar(20)), '@biz.fr')
                when o_orderkey % 5 = 1 then '' else cast(null as varchar(40)) end as email,
-          case when o_orderkey % 3 = 0 then hot.url else own.url end as website
+          case when o_orderkey % 3 = 0 then hot.url when o_orderkey % 4 = 0 then replace(own.url, '://', '://www.')
+            else own.url end as website
         from {orders}
         left join {pages} own on own.page_id = o_custkey
         left join (select page_id, url from {pages} where page_id < 8) hot on hot.page_id = o_custkey % 8

@@ -47,6 +47,8 @@ def write_leads(leads: DataFrame, path: str, fmt: str = "csv", by_country: str |
     """Write leads as CSV, JSON or Parquet, in one folder per country where ``by_country`` names an
     ISO column.
 
+    With ``mode="overwrite"`` and ``by_country`` only the countries among the leads are replaced, all at
+    once when the job is done, so that a rerun leaves the other countries alone and doubles nothing.
     The rebalance hint gathers the rows of a country into well-sized files and splits the ones of a
     large country; without it every task would open a file for every country.
     """
@@ -60,7 +62,7 @@ def write_leads(leads: DataFrame, path: str, fmt: str = "csv", by_country: str |
         writer_input = writer_input.select(*columns)
     writer = writer_input.write.mode(mode)
     if by_country:
-        writer = writer.partitionBy("folder")
+        writer = writer.partitionBy("folder").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').option("timestampFormat", TIME_FORMAT).csv(path)
     elif fmt == "json":

@@ -51,6 +51,12 @@ def test_matches_model(spark, triples):
     assert run(spark, rows) == model(rows)
 
 
+def test_rows_without_keys_stay_where_the_order_is_no_identity(spark):
+    rows = [(1, None, None, None)] * 4 + [(1, "+1", "A", None)] * 3 + [(1, "+2", None, "x")] * 2
+    kept = cascade_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), ["ord"])
+    assert kept.count() == 4 + 1 + 2
+
+
 def test_missing_columns(spark):
     df = spark.createDataFrame([(1, "A"), (2, "A")], "ord long, business_name string")
     assert cascade_dedup(df, ["ord"]).count() == 2

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from bizcontacts.operators.campaign import campaign_plan, done_searches
+from bizcontacts.operators.campaign import campaign_plan, done_searches, latest_results, with_keys
 from bizcontacts.operators.dedup import cascade_dedup
 from bizcontacts.plans.jobs import merge_lead_files
 from bizcontacts.schemas import LEAD_COLUMNS, NA_WORDS
@@ -67,7 +67,38 @@ def test_merge_job(spark, folder, tmp_path):
 def test_rows_that_do_not_fit(spark, folder):
     fine = SL.read_leads(spark, f"{folder}/c.csv").collect()
     assert [(r.business_name, r.phone) for r in fine] == [("short", None)]
-    assert [r.business_name for r in SL.read_leads(spark, f"{folder}/c.csv", rejects=True).collect()] == ["long"]
+    assert [(r.reason, r.record) for r in SL.lead_rejects(spark, f"{folder}/c.csv").collect()] == [("long", "long,1,2,3")]
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_every_row_is_read_or_rejected(spark, folder, multiline):
+    put(folder, "blank.csv", "\n  \n")
+    put(folder, "head.csv", "business_name,phone\n")
+    put(folder, "wide.csv", ",".join(f"c{i}" for i in range(90)) + "\n" + ",".join("x" * 90) + "\n")
+    with open(os.path.join(folder, "broken.csv.gz"), "wb") as f:
+        f.write(b"\x1f\x8bno archive at all")
+    patterns = [f"{folder}/*.csv*", f"{folder}/gone_*.csv"]
+    got = {(os.path.basename(r.file), r.reason) for r in SL.lead_rejects(spark, patterns, multiline).collect()}
+    assert got == {("empty.csv", "empty"), ("blank.csv", "empty"), ("broken.csv.gz", "unreadable"), ("c.csv", "long"),
+                   ("gone_*.csv", "unmatched")}
+    read = [os.path.basename(r._file) for r in SL.read_leads(spark, patterns, multiline).collect()]
+    assert sorted(set(read)) == ["a.csv", "b.csv", "c.csv", "wide.csv"] and read.count("c.csv") == 1
+
+
+def test_other_columns_are_kept_by_name(spark, tmp_path):
+    path = put(str(tmp_path), "o.csv", "\ufeffnote,phone,,note,phone\na,+331,b,c,+332\n,,,,\nNA,,x\n")
+    rows = SL.read_leads(spark, path).orderBy(*SL.LINE_ORDER).collect()
+    assert [r.phone for r in rows] == ["+331", None, None]
+    assert rows[0]._other == {"note": "a", "_c2": "b", "_c3": "c", "_c4": "+332"}
+    assert rows[2]._other == {"note": None, "_c2": "x", "_c3": None, "_c4": None}
+
+
+def test_one_plan_for_any_number_of_layouts(spark, tmp_path):
+    for k in range(12):
+        put(str(tmp_path), f"{k}.csv", f"x{k},phone,business_name\n1,+{k},n\n")
+    df = SL.read_leads(spark, f"{tmp_path}/*.csv")
+    assert df._jdf.queryExecution().analyzed().toString().count("Relation [") == 2
+    assert sorted(r.phone for r in df.collect()) == sorted(f"+{k}" for k in range(12))
 
 
 def test_paths(spark, folder):
@@ -105,9 +136,16 @@ def test_result_files_and_skip(spark, tmp_path):
     put(base, "Paris_glacier artisanal_1.csv", head + "a,Paris,glacier artisanal\n" * 3)
     os.utime(new, (4e9, 4e9))
     files = SL.result_files(spark, base)
-    assert files.count() == 3
+    assert files.count() == 3 and SL.result_files(spark, base, "*.none").count() == 0
     done = {(r.city_key, r.keyword_key): r.rows for r in done_searches(files).collect()}
     assert done == {("Paris", "glacier_artisanal"): 3}
+    # the newest result of a search may be a file without rows
+    newer = put(base, "Paris_glacier_artisanal_20250101_000000.csv", head)
+    os.utime(newer, (4e9, 4e9))
+    plan = with_keys(spark.createDataFrame([("Paris", "glacier"), ("Paris", "glacier artisanal"), ("Lyon", "bar")],
+                                           "city string, keyword string"))
+    latest = latest_results(SL.result_files(spark, base, searches=plan))
+    assert {(r.keyword_key, r.rows) for r in latest.collect()} == {("glacier", 1), ("glacier_artisanal", 0)}
 
 
 def test_line_sources(spark, tmp_path):
@@ -154,6 +192,10 @@ def test_export_roundtrip(spark, tmp_path):
     assert [(r.business_name, r.phone, r.search_city) for r in back] == [
         ("Cafe A", "+331", "Halle (Saale)"), ('B "q", c', "+332", "Halle (Saale)")]
     assert back[0].scraped_date == datetime(2024, 1, 2, 3, 4, 5)
+    # a rerun replaces the countries it holds and leaves the others
+    SK.write_leads(out, target, by_country="country", mode="overwrite")
+    SK.write_leads(out.where("country = 'SE'"), target, by_country="country", mode="overwrite")
+    assert SL.read_leads(spark, f"{target}/*/*.csv").count() == 2
     for fmt in ("json", "parquet"):
         SK.write_leads(out, f"{target}_{fmt}", fmt)
     assert spark.read.parquet(f"{target}_parquet").count() == 2
@@ -179,6 +221,8 @@ def test_ingest_survives_restart(spark, tmp_path):
         return sorted((r.phone or "", r.business_name, r.address or "") for r in spark.read.parquet(table).collect())
 
     drop("1.csv", [("+331", "Cafe A", "1 Rue"), ("+331", " cafe a", "2 Rue"), ("", "Cafe A", "")])
+    with pytest.raises(TypeError):
+        ingest_leads(spark, base, table)
     assert run() == [("", "Cafe A", ""), ("+331", "Cafe A", "1 Rue")]
     drop("2.csv", [("+331", "CAFE A", "3 Rue"), ("+332", "Cafe A", "1 rue"), ("+333", "New", "9 Rue"), ("", "Cafe A", "")])
     again = [("", "Cafe A", ""), ("", "Cafe A", ""), ("+331", "Cafe A", "1 Rue"), ("+333", "New", "9 Rue")]
@@ -186,6 +230,19 @@ def test_ingest_survives_restart(spark, tmp_path):
     assert run() == again
 
 
+def test_ingest_keeps_rows_with_old_dates_and_none(spark, tmp_path):
+    base, table, check = (str(tmp_path / d) for d in ("in", "table", "check"))
+    dates = [["2024-05-01 00:00:00", "2024-05-02 00:00:00"], ["1999-01-01 00:00:00", "", "nan"], ["1970-01-01 00:00:00"]]
+    for batch, days in enumerate(dates):
+        lines = [",".join(LEAD_COLUMNS)]
+        for k, day in enumerate(days):
+            values = {"business_name": f"b{batch}_{k}", "phone": f"+33{batch}{k}", "scraped_date": day}
+            lines.append(",".join(values.get(c, "") for c in LEAD_COLUMNS))
+        put(base, f"{batch}.csv", "\n".join(lines) + "\n")
+        assert ingest_leads(spark, base, table, check).awaitTermination(120)
+        assert spark.read.parquet(table).count() == sum(map(len, dates[:batch + 1]))
+
+
 def test_ingest_refuses_another_layout(spark, tmp_path):
     base, table = str(tmp_path / "in"), str(tmp_path / "table")
     put(base, "1.csv", "phone,business_name,scraped_date\n+331,A,2024-01-02 03:04:05\n")

@@ -135,20 +135,46 @@ def test_company_name_order(spark):
     assert apply(spark, pages, H.company_name) == ["Og", "Og", "H x", None]
 
 
-def test_full_entities(spark):
-    values = ["caf&eacute; &#8364; &amp;", None]
-    assert apply(spark, values, lambda c: H.decode_entities(c, full=True)) == [
-        pyhtml.unescape(values[0]), None]
+def test_entities(spark):
+    values = ["caf&eacute; &#8364; &amp;", "&#0; &#x0; &#128; &#x9f; &#x110000; &#99999999999999; &#xD800; &#13; &#11;", "&#x1F600;&#X41&#65x",
+              "&notit; &notin; &ampx &eacutex &am &; && &1 &#; &#x; &a", "&CounterClockwiseContourIntegral; &NoSuchName;", "", None]
+    assert apply(spark, values, H.decode_entities) == [None if v is None else pyhtml.unescape(v) for v in values]
+
+
+def test_attributes(spark):
+    tags = ['<a href=mailto:a@x.fr>', "<A class=x HREF = '/p?a=1&amp;b=2&copy=3' hidden>", '<a href>', '<a>', '<a title="x">',
+            '<a href="1" href="2">', '<a data-href="no">', '<abbr href="no">', '<a\nhref="caf&eacute;">', '<a href="open', '<a/href=x>']
+    want = [["mailto:a@x.fr"], ["/p?a=1&b=2&copy=3"], [""], [], [], ["2"], [], [], ["café"], [""], ["x"]]
+    assert apply(spark, tags, H.hrefs) == want
+    metas = ["<meta name=description content=Plain>", '<META CONTENT="a&#33;" NAME="description">', "<meta name=descriptions content=x>",
+             "<meta name='description' content='1'><meta name='description' content='2'>", "<meta name='description'>"]
+    assert apply(spark, metas, H.description) == ["Plain", "a!", None, "1", None]
+
+
+def test_open_elements_end_with_the_page(spark):
+    pages = ["a<!-- b <p>c", "a<script>b <p>c", "a<style x", "a<p class='x", "<title>T <b>c", "a<!doctype x"]
+    assert apply(spark, pages, lambda c: X.utrim(H.page_text(c))) == ["a", "a", "a", "a", "T  c", "a"]
+    assert apply(spark, pages[4:5], H.company_name) == ["T c"]
+
+
+@pytest.mark.parametrize("piece", ["<!-- ", "<script ", "<script>", "<a href=", "<p ", "&#", "&am", "<meta name=description "])
+def test_markup_takes_time_in_proportion(spark, piece):
+    import time
+
+    df = spark.createDataFrame([(piece * (n // len(piece)),) for n in (1_000, 1_000_000)], "v string").repartition(1)
+    read = df.select(*[f.alias(str(k)) for k, f in enumerate((
+        H.page_text("v"), H.company_name(H.visible_markup("v")), H.description(H.visible_markup("v")),
+        F.size(H.hrefs(H.visible_markup("v")))))])
+    start = time.time()
+    read.write.format("noop").mode("overwrite").save()
+    assert time.time() - start < 30
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["&", "amp;", "&amp;", "&lt;", "lt;", "&quot;", "&#39;", "&euro;", "x", " "])).map("".join), min_size=1, max_size=30))
 def test_entities_match_python(spark, values):
-    known = re.compile("|".join(re.escape(r) for r, _ in H.ENTITIES))
-    want = [known.sub(lambda m: dict(H.ENTITIES)[m.group()], v) for v in values]
+    want = [pyhtml.unescape(v) for v in values]
     assert apply(spark, values, H.decode_entities) == want
-    tags = [f'<a href="{v}">'.replace('"&quot;', '"&quot;') for v in values]
-    assert apply(spark, tags, H.hrefs) == [[w] for w in want]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

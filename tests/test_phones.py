@@ -97,3 +97,34 @@ def test_plan_codes_are_prefix_free():
     codes = sorted({p.cc for p in N.NUMBERING_PLAN})
     assert len(codes) == len(N.NUMBERING_PLAN)
     assert not [(a, b) for a in codes for b in codes if a != b and b.startswith(a)]
+
+
+def test_regions_by_longest_prefix(spark):
+    rows = [(p, iso, "+" + p + "5550100") for p, iso in N.PREFIXES] + [("", None, "+0"), ("", None, "331"), ("", None, None)]
+    df = spark.createDataFrame(rows, "prefix string, iso string, number string")
+    got = df.select("iso", "number", N.phone_region("number").alias("region")).collect()
+    known = dict(N.PREFIXES)
+
+    def longest(number):
+        return next((known[number[1:n + 1]] for n in range(7, 0, -1) if number[1:n + 1] in known), None)
+
+    for r in got:
+        assert r.region == (longest(r.number) if r.number and r.number[0] == "+" else None), r
+    assert {r.region for r in got} >= {"US", "CA", "KZ", "GG", "VA", "MA", "ID", "CW"}
+
+
+def test_numbers_of_all_plans_are_spelled(spark):
+    for plan in N.ALL_PLANS:
+        assert plan.cc and plan.min_len <= plan.max_len <= 15 - len(plan.cc), plan
+    rows = [("US", "+212 612-345678", "+212612345678"), ("MA", "0612345678", "+212612345678"), ("KZ", "8 701 234 56 78", None),
+            ("IN", "09876543210", "+919876543210"), ("CA", "(204) 234-5678", "+12042345678"), ("GG", "01481 712345", "+441481712345")]
+    df = spark.createDataFrame(rows, "iso string, raw string, want string")
+    for r in df.select("*", N.e164("raw", F.col("iso"), ()).alias("got")).collect():
+        assert r.want is None or r.got == r.want, r
+
+
+def test_denied_parts_are_plain_text(spark):
+    df = spark.createDataFrame([("+33142654321",)], "raw string")
+    for deny, kept in ((["+33"], 0), (["'"], 1), (["."], 1), (["("], 1), (["4265"], 0)):
+        assert df.where(N.e164("raw", F.lit("FR"), deny).isNotNull()).count() == kept, deny
+
