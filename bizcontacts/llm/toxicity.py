@@ -150,28 +150,24 @@ def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
     # every run of WINDOW words within a text is a window; a shorter text is one, padded with nothing
     upto = np.cumsum([max(len(r) - WINDOW, 0) + 1 for r in rows])
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(DIM), np.zeros(DIM)]
+    offsets = np.concatenate([[0], upto])
     for step in range(1, rounds + 1):
-        word_vec = np.stack([np.bincount(owner, vectors[flat, d], len(sizes)) for d in range(DIM)], 1) / sizes[:, None]
-        value = word_vec @ out
+        # a word is the mean of its subwords, and the softmax is linear in it: one number per subword will do
+        value = np.bincount(owner, (vectors @ out)[flat], len(sizes)) / sizes
         pick = np.arange(upto[-1]) if upto[-1] <= ROUND_WINDOWS else rng.integers(0, upto[-1], ROUND_WINDOWS)
         home = np.searchsorted(upto, pick, "right")
-        first = spans[home] + pick - np.concatenate([[0], upto])[home]
-        logit = np.full(len(pick), bias)
-        for k in range(WINDOW):
-            inside = first + k < spans[home + 1]
-            logit[inside] += value[words[first[inside] + k]] / WINDOW
+        place = (spans[home] + pick - offsets[home])[:, None] + np.arange(WINDOW)
+        inside = place < spans[home + 1][:, None]
+        held_words = words[np.minimum(place, len(words) - 1)]
+        logit = (value[held_words] * inside).sum(1) / WINDOW + bias
         y = y_text[home]
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         z = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g = weight * (z - y) / len(pick)
         # gradient of each word: the sum over the windows that hold it
-        per_word = np.zeros(len(sizes))
-        for k in range(WINDOW):
-            inside = first + k < spans[home + 1]
-            per_word += np.bincount(words[first[inside] + k], g[inside], len(sizes))
-        per_word /= WINDOW
-        grad_out = word_vec.T @ per_word
+        per_word = np.bincount(held_words.ravel(), (inside * g[:, None]).ravel(), len(sizes)) / WINDOW
         per_feature = np.bincount(flat, (per_word / sizes)[owner], BUCKETS)
+        grad_out = vectors.T @ per_feature
         grad_vec = per_feature[:, None] * out[None, :]
         rate = 0.1
         for k, (param, grad) in enumerate(((vectors, grad_vec), (out, grad_out))):
