@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ MARKS = re.compile(r"\\|###|</turn>")
 UNMARK = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"### ((?:\\.|[^\\\n:])*): ((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.S)
 LOSS_ROLE = "assistant"
+# columns of ``conversation_events`` that tell rows of one turn number apart
+TIE = ("tie_text", "tie_row")
 
 
 def escape(text: str) -> str:
@@ -41,40 +44,41 @@ def unescape(text: str) -> str:
 
 
 def conversation_events(turns: DataFrame) -> DataFrame:
-    """Log of a table of finished turns (conv_id, turn, role, text): a start and one delta each.
+    """Log of a table of finished turns (conv_id, turn, role, text): a start and one delta each, and the columns ``TIE``.
 
-    Rows with a repeated turn number stay messages of their own, in the order of role and text.
-    Null role or text is empty.
+    Rows with a repeated turn number, equal ones included, stay messages of their own, in the order of
+    role and text. Null role or text is empty.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("msg"),
-                     F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+                     F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+                     F.monotonically_increasing_id().alias("tie_row"))
     delta = F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("text"))
     start = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text"))
-    # a start names its text too, so that rows of one turn number sort apart as whole messages
-    return t.select("conv_id", "msg", F.col("text").alias("_tie"), "role", F.explode(F.array(start, delta)).alias("e")) \
+    # a start names its text and row too, so that rows of one turn number sort apart as whole messages
+    return t.select("conv_id", "msg", F.col("text").alias("tie_text"), "tie_row", "role",
+                    F.explode(F.array(start, delta)).alias("e")) \
         .select("conv_id", "msg", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), "role",
-                F.col("e.text").alias("text"), "_tie")
+                F.col("e.text").alias("text"), *TIE)
 
 
-def render_chats(events: DataFrame) -> DataFrame:
+def render_chats(events: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     """Rendered conversations (conv_id, part, text, loss): parts of about a million characters.
 
     ``loss`` holds the code-point spans of assistant text within the part. A message is opened by
     ``start``, or by its first event where the log lacks it; null kinds count as deltas, null texts
     and roles as empty; events of equal sequence are ordered by kind and text, with ``start`` first.
-    Rows without a conversation id form one conversation with a null id. No log, no rows. Extra columns are not read,
-    but ``_tie``, which separates messages of equal number.
+    Rows without a conversation id form one conversation with a null id. No log, no rows. Extra columns are not read
+    but those named by ``tie``, which separate messages of equal number.
     """
     ship(events.sparkSession)
-    tie = "_tie" if "_tie" in events.columns else F.lit("")
     e = events.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("msg").cast("long").alias("msg"),
         F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("delta")).alias("kind"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        (F.col(tie) if isinstance(tie, str) else tie).alias("_tie"))
+        *[F.col(c).alias(f"_tie{k}") for k, c in enumerate(tie)])
     e = e.withColumn("_first", (F.col("kind") != "start").cast("int"))
     # the role is part of the order only to tell messages of equal number apart
-    by_tie = ["role", "_tie"] if "_tie" in events.columns else []
+    by_tie = ["role", *[f"_tie{k}" for k in range(len(tie))]] if tie else []
     e = (e.repartition("conv_id")
          .sortWithinPartitions("conv_id", "msg", *by_tie, "seq", "_first", "kind", "text"))
 
@@ -99,8 +103,8 @@ def render_chats(events: DataFrame) -> DataFrame:
             chars += len(out[-1])
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("conv_id", "msg", "kind", "role", "text", "_tie")]
-            for c, m, kind, who, said, key in zip(*cols, strict=True):
+            cols = [batch.column(n).to_pylist() for n in ("conv_id", "msg", "kind", "role", "text")]
+            for c, m, kind, who, said in zip(*cols, strict=True):
                 fresh = not opened or c != conv or m != message
                 if not fresh and tied and kind == "start":  # the next message of an equal number
                     fresh = True

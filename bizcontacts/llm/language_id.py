@@ -8,8 +8,6 @@ penalised likelihood is highest, grown one language at a time.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +16,10 @@ from pyspark.sql import functions as F
 from bizcontacts.llm.common import map_batches, ship
 
 BINS = 1 << 14
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 ROUNDS = 12
 # n-grams of a text overlap, so its sample counts for a third; a language must earn this share of log n
+OVERLAP = 3.0
 PENALTY = 3.0
 # bytes that are no part of a word become a space
 _WORDY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -82,8 +80,11 @@ def proportions(counts: np.ndarray, p: np.ndarray, start: np.ndarray | None = No
     return share, float(counts @ np.log(mix))
 
 
-def infer(text: str, p: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """(proportion of each language, chosen languages by falling proportion)."""
+def infer(text: str, p: np.ndarray) -> tuple[np.ndarray, list[int], float]:
+    """(proportion of each language, chosen languages by falling proportion, posterior of the first of them).
+
+    The posterior weighs the penalised likelihood of the chosen set against that of each language left out.
+    """
     bins, counts = np.unique(ngram_bins(text), return_counts=True)
     part, counts = p[bins], counts.astype(float)
     single = counts @ np.log(part)
@@ -95,12 +96,15 @@ def infer(text: str, p: np.ndarray) -> tuple[np.ndarray, list[int]]:
         if k in chosen or full[k] < 0.02:
             continue
         trial, value = proportions(counts, part[:, chosen + [int(k)]])
-        if (value - best) / 3 <= cost:
+        if (value - best) / OVERLAP <= cost:
             break
         chosen, best, share = chosen + [int(k)], value, trial
     out = np.zeros(p.shape[1])
     out[chosen] = share
-    return out, sorted(chosen, key=lambda k: -out[k])
+    order = sorted(chosen, key=lambda k: -out[k])
+    rivals = np.delete(single, chosen) - best + OVERLAP * cost * (len(chosen) - 1)
+    against = float(np.exp(np.clip(rivals / OVERLAP, -700, 50)).sum())
+    return out, order, float(out[order[0]]) / (1 + against)
 
 
 def identify_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -116,11 +120,11 @@ def identify_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id"
     def predict(batch):
         pred, score, names, shares = [], [], [], []
         for text in batch.column("text").to_pylist():
-            if not text or not langs or not LETTER.search(text):
+            if not text or not langs or not any(map(str.isalpha, text)):
                 pred.append(UNKNOWN), score.append(0.0), names.append([]), shares.append([])
                 continue
-            share, chosen = infer(text, p)
-            pred.append(langs[chosen[0]]), score.append(min(1.0, float(share[chosen[0]])))
+            share, chosen, sure = infer(text, p)
+            pred.append(langs[chosen[0]]), score.append(min(1.0, sure))
             names.append([langs[k] for k in chosen]), shares.append([float(share[k]) for k in chosen])
         return {**{c: batch.column(c) for c in ("doc_id", *carry)},
                 "lang_pred": pred, "score": score, "langs": names, "shares": shares}

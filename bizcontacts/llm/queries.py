@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizcontacts.llm.chat_format import chat_digest, conversation_events, render_chats
+from bizcontacts.llm.chat_format import TIE, chat_digest, conversation_events, render_chats
 from bizcontacts.llm.common import Scratch, held_out, table
 from bizcontacts.llm.conversation_repair import conversation_edits, damage_turns, repair_digest
 from bizcontacts.llm.decontaminate import find_leaks
@@ -66,7 +66,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
-    rendered = render_chats(conversation_events(turns.unionByName(marked)))
+    rendered = render_chats(conversation_events(turns.unionByName(marked)), TIE)
     return chat_digest(Scratch(spark, "op9").save(rendered, "rendered"))
 
 

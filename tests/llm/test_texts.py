@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from bizcontacts.llm.chat_format import chat_digest, conversation_events, escape, parse_turns, render_chats, unescape
+from bizcontacts.llm.chat_format import TIE, chat_digest, conversation_events, escape, parse_turns, render_chats, unescape
 from bizcontacts.llm.common import held_out, table
 from bizcontacts.llm.decontaminate import MASKS, SUBSTITUTIONS, WINDOW, find_leaks
 from bizcontacts.llm.language_id import identify_languages
@@ -74,7 +74,7 @@ def test_chats_read_back_as_they_were(spark):
             for c in range(6) for t in range(c + 1)]
     rows += [(9, 0, "user", "b" * 300_000, 1), (9, 1, "assistant", "\\### Assistant: </turn> ok", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int").repartition(4)
-    got = {r.conv_id: r for r in chat_digest(render_chats(conversation_events(df))).collect()}
+    got = {r.conv_id: r for r in chat_digest(render_chats(conversation_events(df), TIE)).collect()}
     chats = defaultdict(list)
     for c, _, role, text, _ in sorted(rows, key=lambda r: r[:2]):
         chats[c].append((role, text or ""))
@@ -86,6 +86,19 @@ def test_chats_read_back_as_they_were(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_equal_rows_of_a_turn_stay_messages(spark):
+    rows = [(1, 0, "user", "hi", "a"), (1, 0, "user", "hi", "b"), (1, 0, "assistant", "yo", "c"), (1, 1, "assistant", "yes", "d"),
+            (1, 1, "assistant", "yes", "e"), (None, None, None, None, "f")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _tie string").repartition(3)
+    got = {r.conv_id: r for r in render_chats(conversation_events(df), TIE).collect()}
+    assert [x[:2] for x in parse_turns(got[1].text)] == [
+        ("assistant", "yo"), ("user", "hi"), ("user", "hi"), ("assistant", "yes"), ("assistant", "yes")]
+    assert [x[:2] for x in parse_turns(got[None].text)] == [("", "")]
+    log = [(1, 0, k, "delta", "user", t, str(k)) for k, t in enumerate("hello")]
+    df = spark.createDataFrame(log, "conv_id long, msg long, seq long, kind string, role string, text string, _tie string")
+    assert [x[:2] for x in parse_turns(render_chats(df).first().text)] == [("user", "hello")]
+
+
 def test_edits_and_regenerations_fold(spark):
     log = [(1, 0, 0, "start", "user", None), (1, 0, 1, "delta", None, "he"), (1, 0, 2, "delta", None, "llo"),
            (1, 1, 0, "start", "assistant", None), (1, 1, 1, "delta", None, "bad"), (1, 1, 2, "regenerate", None, None),
@@ -144,3 +157,7 @@ def test_languages_are_found_on_held_out_documents(spark, sf_dir):
     assert n and right / n > 0.8
     assert {r.lang_pred for r in identify_languages(odd, train).collect()} == {"und"}
     assert identify_languages(odd.limit(0), train).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ①"), (2, "x"), (3, "٣٤"), (4, "日")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in identify_languages(signs, train).collect()}
+    assert rows[1].lang_pred == rows[3].lang_pred == "und" and rows[1].score == 0
+    assert rows[2].lang_pred != "und" and 0 < rows[2].score < 0.999 and rows[4].lang_pred != "und"
