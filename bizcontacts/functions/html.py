@@ -229,14 +229,20 @@ def tel_texts(markup: Column, links: Column | None = None) -> Column:
     return F.when(F.contains(markup, F.lit("tel:")), F.concat(ids, numbers)).otherwise(empty_strings())
 
 
-# Words whose presence in a label marks an element as showing a phone number.
+# Words whose presence in a label marks an element as showing a phone number, and the section that does.
 PHONE_LABELS = ("Phone", "Call", "phone", "Telefon", "Téléphone", "Telefono", "Teléfono")
 
 
+PHONE_SECTION = "pn0"
+_LABELLED = rf"""\baria-label\s*=\s*["']([^"']*(?:{"|".join(PHONE_LABELS)})[^"']*["'][^>]*>[^<]*)"""
+_SECTION = rf"""\bdata-section-id\s*=\s*["']{PHONE_SECTION}["'][^>]*>([^<]*)"""
+
+
 def labelled_phone_texts(markup: Column) -> Column:
-    """Labels of elements that show a phone number, as a fallback for pages without ``tel:``."""
-    words = "|".join(PHONE_LABELS)
-    found = F.regexp_extract_all(
-        markup, F.lit(rf"""\baria-label\s*=\s*["']([^"']*(?:{words})[^"']*["'][^>]*>[^<]*)"""), F.lit(1)
-    )
-    return F.when(F.contains(markup, F.lit("aria-label")), found).otherwise(empty_strings())
+    """Texts of the phone section, then labels of elements that show a phone number: a fallback for pages
+    without ``tel:``."""
+    def texts(pattern: str, mark: str) -> Column:
+        found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
+        return F.when(F.contains(markup, F.lit(mark)), found).otherwise(empty_strings())
+
+    return F.concat(texts(_SECTION, "data-section-id"), texts(_LABELLED, "aria-label"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from bizcontacts.functions.listing import search_url
 from bizcontacts.functions.text import blank_to_null, sanitize_key, search_key, text_norm, utrim
-from bizcontacts.operators.joins import broadcast_if_small
 from bizcontacts.operators.lookups import city_geo, country_folder
 from bizcontacts.operators.stats import percentage
 
@@ -21,7 +20,8 @@ MIN_ROWS_DONE_STRICT = 20
 STATUSES = ("SUCCESS", "ZERO_RESULTS", "SKIPPED", "FAILED")
 MINUTES_PER_SEARCH = 2.5
 
-_BLOCK = 10_000
+# positions per block: three levels of it cover every 64-bit number
+_BLOCK = 1 << 21
 
 
 class Variant(NamedTuple):
@@ -79,22 +79,29 @@ def parse_terms(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def running_total(df: DataFrame, position: str, weight: str, out: str, block: int = _BLOCK) -> DataFrame:
-    """Sum of ``weight`` over all rows before each row, ordered by the number ``position``.
+    """Sum of ``weight`` over all rows before each row, ordered by ``position``, a number from 0 on.
 
-    Two levels keep it parallel: windows inside blocks of ``block`` positions, and one window over
-    the block totals, which are fewer than the rows by that factor where positions are consecutive,
-    as line numbers are.
+    Three levels keep it parallel: windows inside blocks of ``block`` positions, over the totals of as
+    many neighbouring blocks, and over the totals of those. No window holds more than ``block``
+    rows where positions are unique, however sparse they are, and none holds the whole table.
     """
-    blocked = df.withColumn("_blk", F.floor(F.col(position) / block))
-    totals = blocked.groupBy("_blk").agg(F.sum(weight).alias("_w"))
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_blk").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    def up(c: str) -> Column:
+        return F.expr(f"({c} - pmod({c}, {block})) div {block}")
+
+    def before(part: str, order: str, value: str) -> Column:
+        rows = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(rows), F.lit(0))
+
+    blocked = df.withColumn("_b1", up(position)).withColumn("_b2", up("_b1"))
+    blocks = blocked.groupBy("_b1", "_b2").agg(F.sum(weight).alias("_w"))
+    wide = blocks.groupBy("_b2").agg(F.sum("_w").alias("_w")).withColumn("_b3", up("_b2"))
+    wide = wide.select("_b2", before("_b3", "_b2", "_w").alias("_far"))
+    offsets = blocks.select("_b1", "_b2", before("_b2", "_b1", "_w").alias("_near")).join(wide, "_b2")
     return (
-        blocked.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(offsets, "_blk")
+        blocked.withColumn("_in", before("_b1", position, weight))
+        .join(offsets.select("_b1", (F.col("_near") + F.col("_far")).alias("_off")), "_b1")
         .withColumn(out, F.col("_off") + F.col("_in"))
-        .drop("_blk", "_in", "_off")
+        .drop("_b1", "_b2", "_in", "_off")
     )
 
 
@@ -108,7 +115,6 @@ def campaign_plan(cities: DataFrame, terms: DataFrame, group: str | None = None,
     """
     if group is not None:
         cities = cities.where(F.col("grp") == group)
-    terms = broadcast_if_small(terms)
     sizes = terms.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
     sized = cities.join(sizes, "grp")
     numbered = running_total(sized, "city_seq", "_n", "_before").drop("_n")

@@ -59,12 +59,3 @@ def left_join_unique(left: DataFrame, right: DataFrame, key: str, spread_by: Seq
     slots = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slots"), F.lit(1)).cast("bigint") - 1)
     copied = right.join(hot, key, "left").withColumn("_slot", F.explode(slots)).drop("_slots")
     return slotted.join(copied, [key, "_slot"], "left").drop("_slot")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a table that was counted to hold at most ``max_rows`` rows.
-
-    A larger table is returned as it is, so the join falls back to a shuffle with skew handling.
-    The count stops at the limit.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -32,21 +32,22 @@ def translate_keyword(df: DataFrame, keywords: DataFrame, business_type: str, la
     )
 
 
-def keyword_catalog(keywords: DataFrame, show: str = "en") -> DataFrame:
+def keyword_catalog(keywords: DataFrame, show: str = "en", ordered: bool = False) -> DataFrame:
     """Per business type, in one pass: its languages, their number, and the keyword to show for the
-    language ``show``, with the English one and ``-`` to fall back on."""
+    language ``show``, with the English one and ``-`` to fall back on; ``ordered`` sorts by type."""
     def of(code: str) -> Column:
         return blank_to_null(F.max(F.when(F.col("language") == code, F.col("keyword"))))
 
     found = keywords.groupBy("business_type").agg(
         F.collect_set("language").alias("_langs"), F.coalesce(of(show), of("en"), F.lit("-")).alias("shown")
     )
-    return found.select(
+    listed = found.select(
         "business_type",
         F.array_join(F.sort_array("_langs"), ", ").alias("languages"),
         F.size("_langs").alias("n_languages"),
         "shown",
     )
+    return listed.orderBy("business_type") if ordered else listed
 
 
 def city_country(df: DataFrame, city: str, out: str = "country_code") -> DataFrame:

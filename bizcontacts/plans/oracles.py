@@ -218,8 +218,8 @@ CONTACTS = [
     "pmail as (select distinct page_id, host, email from pmails)",
     f"pcand as (select page_id, iso, unnest({CANDS}) as raw, generate_subscripts({CANDS}, 1) as k from pread)",
     *e164_ctes("pcand", "page_id, k", N.PHONE_DENY, tag="p"),
-    """ptels as (select page_id, iso, list_transform(list_filter(hrefs, lambda h: starts_with(h, 'tel:')), lambda h: substr(h, 5))
-        as tels from pread)""",
+    f"""ptels as (select page_id, iso, list_transform(list_filter(hrefs, lambda h: starts_with(h, 'tel:')), lambda h: substr(h, 5))
+        || regexp_extract_all(m, {rx(H._SECTION)}, 1) || regexp_extract_all(m, {rx(H._LABELLED)}, 1) as tels from pread)""",
     "ptel as (select page_id, iso, unnest(tels) as text, generate_subscripts(tels, 1) as place from ptels)",
     f"tcand as (select page_id, iso, place, unnest({CANDS}) as raw, generate_subscripts({CANDS}, 1) as k from ptel)",
     *e164_ctes("tcand", "page_id, place, k", N.LISTING_PHONE_DENY, tag="t"),
@@ -501,6 +501,12 @@ ORACLES: dict[str, str] = {
         "f as (select *, row_number() over (partition by city, keyword, language order by seq) as rn from p)")
         + f""" select seq, city, iso, grp, term_key, keyword, language, {_folder('iso')} as folder from f
         where rn = 1 and seq >= 25""",
+    "q_campaign_group": with_views(["city_lines"],
+        f"t as (select * from {_term_rows()})",
+        """p as (select row_number() over (order by c.seq, term_seq) as seq, split_part(line, '|', 1) as city, term_key, keyword,
+             language from city_lines c join t on t.grp = split_part(line, '|', 3) where t.grp = 'se')""")
+        + """ select seq, city, term_key from p
+        qualify row_number() over (partition by city, keyword, language order by seq) = 1""",
     "q_campaign_cross": with_views(["plan_cities"])
         + f""" select city, type_seq, b.business_type, 'de' as language, coalesce(o.keyword, e.keyword, b.business_type) as keyword
         from plan_cities, {dims.values_sql(('type_seq', 'business_type'), list(enumerate(R.BUSINESS_TYPES)), 'b')}

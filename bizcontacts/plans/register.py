@@ -320,6 +320,13 @@ def q_campaign_plan(spark, sf):
     )
 
 
+def q_campaign_group(spark, sf):
+    """One group of a campaign, over list positions with wide gaps."""
+    cities = C.parse_cities(load(spark, sf, "city_lines"))
+    sparse = cities.withColumn("city_seq", F.col("city_seq") * 5_000_000_007)
+    return C.campaign_plan(sparse, _terms(spark), group="se").select("seq", "city", "term_key")
+
+
 def q_campaign_cross(spark, sf):
     plan = C.crossed_plan(load(spark, sf, "plan_cities"), BUSINESS_TYPES)
     keyed = plan.withColumn("language", F.lit("de"))
@@ -370,7 +377,7 @@ def q_keyword_translate(spark, sf):
 
 
 def q_keyword_catalog(spark, sf):
-    catalog = K.keyword_catalog(load(spark, sf, "keyword_source"), "de")
+    catalog = K.keyword_catalog(load(spark, sf, "keyword_source"), "de", ordered=True)
     return catalog.withColumn("n_languages", F.col("n_languages").cast("bigint"))
 
 

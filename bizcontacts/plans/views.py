@@ -71,6 +71,8 @@ VIEWS = {
           when 4 then '<meta name=description content=Plain&#x21;><meta content="T&ecirc;te" name=x>'
           when 5 then '<a rel="me" href=https://www.instagram.com/shop&amp;co>i</a>'
           when 6 then '<script>var a = "hidden@shop.fr"'
+          when 8 then '<button aria-label="Phone: 020 7946 0958" class="x">020 7946 0959</button><i aria-label="Map">1</i>'
+          when 9 then '<div data-section-id="pn0" class=s>+33 1 42 65 43 25</div><b aria-label="Telefon">+33142654326</b>'
           when 7 then '<p>Tel: 01 42 65 43 22 or +33&nbsp;142654323</p><p class="x'
           else '' end) as html
         from {pages}

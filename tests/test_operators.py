@@ -11,7 +11,7 @@ from bizcontacts.operators import lookups as K
 from bizcontacts.operators import pages as P
 from bizcontacts.operators import stats as S
 from bizcontacts.operators.enrich import enrich_emails
-from bizcontacts.operators.joins import broadcast_if_small, left_join_unique
+from bizcontacts.operators.joins import left_join_unique
 from bizcontacts.plans import jobs as J
 from bizcontacts.sources import dims
 
@@ -109,16 +109,6 @@ def test_hot_key_is_split(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_broadcast_only_when_counted_small(spark):
-    big, key = spark.range(50), spark.range(1000).withColumnRenamed("id", "x")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "Broadcast" in executed(key.join(broadcast_if_small(big, 50), F.col("x") == F.col("id")))
-        assert "Broadcast" not in executed(key.join(broadcast_if_small(big, 49), F.col("x") == F.col("id")))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_enrich(spark):
     leads = frame(spark, [(1, "a@b.fr", "x.fr"), (2, None, "x.fr/"), (3, " ", "http://y.fr/p"), (4, None, None), (5, "nan", "X.FR")],
                   "id int, email string, website string")

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from bizcontacts.operators.campaign import running_total
 from bizcontacts.operators.contacts import explode_found, pin, spread
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def test_pinned_column_is_not_repeated_by_a_filter(spark):
     assert executed(found).count("regexp_extract_all") == 1 and found.count() == 10
 
 
+def test_numbering_has_no_single_task(spark, sf_dir):
+    for name in ("q_campaign_plan", "q_campaign_group"):
+        plan = executed(QUERIES[name](spark, sf_dir))
+        assert "SinglePartition" not in plan and "Window" in plan
+    rows = [(k ** 5, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "p long, w long").repartition(5)
+    got = {r.p: r.t for r in running_total(df, "p", "w", "t", block=1024).collect()}
+    assert got == {p: sum(w for _, w in rows[:k]) for k, (p, _) in enumerate(rows)}
+
+
+def test_latest_and_last_outcomes_do_not_sort_texts(spark, sf_dir):
+    for name in ("q_crawl_outcomes", "q_existing_latest"):
+        assert "SortAggregate" not in executed(QUERIES[name](spark, sf_dir))
+
+
 def test_spread_only_small_inputs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "REPARTITION" in executed(spread(docs, "doc_id"))
