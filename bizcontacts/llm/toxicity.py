@@ -116,6 +116,43 @@ class Sample:
         return n
 
 
+class Lists:
+    """Bucket numbers of all words, read in blocks of words, so that little is held besides them."""
+
+    BLOCK = 400_000  # bucket numbers at once
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        cuts = np.searchsorted(self.ends, np.arange(0, len(flat) + self.BLOCK, self.BLOCK))
+        self.blocks = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        if len(sizes) and (not self.blocks or self.blocks[-1][1] < len(sizes)):
+            self.blocks.append((self.blocks[-1][1] if self.blocks else 0, len(sizes)))
+
+    def of(self, word: int) -> np.ndarray:
+        return self.flat[self.ends[word] - self.sizes[word]:self.ends[word]]
+
+    def _block(self, a: int, b: int) -> tuple[np.ndarray, int]:
+        start = self.ends[a] - self.sizes[a]
+        return self.flat[start:self.ends[b - 1]], start
+
+    def mean(self, of_bucket: np.ndarray) -> np.ndarray:
+        """Mean over each word's buckets."""
+        out = np.empty(len(self.sizes))
+        for a, b in self.blocks:
+            part, start = self._block(a, b)
+            out[a:b] = np.add.reduceat(of_bucket[part], self.ends[a:b] - self.sizes[a:b] - start)
+        return out / self.sizes
+
+    def spread(self, of_word: np.ndarray) -> np.ndarray:
+        """Sum per bucket of what each word passes on to its buckets in equal shares."""
+        out, share = np.zeros(BUCKETS), of_word / self.sizes
+        for a, b in self.blocks:
+            part, _ = self._block(a, b)
+            out += np.bincount(part, np.repeat(share[a:b], self.sizes[a:b]), BUCKETS)
+        return out
+
+
 def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
     """Joint training of vectors and softmax on the windows of labelled texts.
 
@@ -130,17 +167,14 @@ def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
     if not rows or len(set(y_text)) < 2:
         base = float(np.clip(y_text.mean() if rows else 0.0, 1e-3, 1 - 1e-3))
         return Model(np.zeros(BUCKETS), 0.0, (0.0, float(np.log(base / (1 - base)))))
-    flat, sizes = np.frombuffer(sample.buckets, np.int32), np.frombuffer(sample.sizes, np.int32)
-    ends = np.cumsum(sizes, dtype=np.int64)
+    lists = Lists(np.frombuffer(sample.buckets, np.int32), np.frombuffer(sample.sizes, np.int32))
     held, mark = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, bool)
     for r in rows:
         mark[:] = False
         for w in np.unique(r):
-            mark[flat[ends[w] - sizes[w]:ends[w]]] = True
+            mark[lists.of(w)] = True
         held += mark
     common = held >= min(MIN_TEXTS, max(1, len(rows) // 50))
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[common[flat]]
-    flat = flat[common[flat]]
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)) * common[:, None]
     out = rng.normal(0, 0.1, DIM)
     positive = y_text.mean()
@@ -153,7 +187,7 @@ def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
     offsets = np.concatenate([[0], upto])
     for step in range(1, rounds + 1):
         # a word is the mean of its subwords, and the softmax is linear in it: one number per subword will do
-        value = np.bincount(owner, (vectors @ out)[flat], len(sizes)) / sizes
+        value = lists.mean((vectors @ out).astype(np.float32))
         pick = np.arange(upto[-1]) if upto[-1] <= ROUND_WINDOWS else rng.integers(0, upto[-1], ROUND_WINDOWS)
         home = np.searchsorted(upto, pick, "right")
         place = (spans[home] + pick - offsets[home])[:, None] + np.arange(WINDOW)
@@ -165,8 +199,8 @@ def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
         z = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g = weight * (z - y) / len(pick)
         # gradient of each word: the sum over the windows that hold it
-        per_word = np.bincount(held_words.ravel(), (inside * g[:, None]).ravel(), len(sizes)) / WINDOW
-        per_feature = np.bincount(flat, (per_word / sizes)[owner], BUCKETS)
+        per_word = np.bincount(held_words.ravel(), (inside * g[:, None]).ravel(), len(value)) / WINDOW
+        per_feature = lists.spread(per_word) * common
         grad_out = vectors.T @ per_feature
         grad_vec = per_feature[:, None] * out[None, :]
         rate = 0.1
@@ -180,7 +214,7 @@ def train(sample: Sample, seed: int = 7, rounds: int = 80) -> Model:
             param *= 1 - DECAY
         bias -= 0.5 * float(g.sum())
     weights = vectors @ out
-    value = np.bincount(owner, weights[flat], len(sizes)) / sizes
+    value = lists.mean(weights)
     model = Model(weights, float(bias), (1.0, 0.0))
     for chosen in (back, ~back):  # texts learned from only where none was kept back
         found = [(window_peak(value[r]) + bias, y)
