@@ -73,3 +73,20 @@ def test_files_keep_repeated_rows(spark, docs):
     rows = sorted((r.start, r.n_tokens) for r in read_token_files(spark, folder).collect())
     assert len(rows) == 2 * docs.count()
     assert all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+
+
+def test_ids_of_odd_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from bizcontacts.llm.token_files import ChunkIds
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), random.Random(3)
+    signs = "aBc'sdtré日🙂\t\n12½.,!<|>̀İΣſß²ªº-_߿   x y  "
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    odd += ["<|endoftext|>", "a<|startoftext|>b", "<|x|>", "I'll don'T we'RE ''s's", "ÀÉÎ ŠŽ ǅ ǈ", "ﬁ Å", "a" * 3000, "." * 3000, "ÿ" * 700, None]
+    want = Tokenizer.from_file(path)
+    for limit in (1_000_000, 50):  # the second memory is emptied again and again
+        got = list(ChunkIds(path, limit).texts(odd))
+        assert all(g.tolist() == want.encode(o or "", add_special_tokens=False).ids for o, g in zip(odd, got))
