@@ -76,9 +76,10 @@ def unit_rows(embeddings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k, v in enumerate(rows):
         if v and None not in v:
             a = np.array(v, np.float64)
-            n = np.sqrt(a @ a)
-            if np.isfinite(a).all() and n > 0 and np.isfinite(n):
-                keep.append(k), out.append(a / n)
+            top = np.abs(a).max()
+            if np.isfinite(top) and top > 0:
+                a = a / top  # so that no square runs over or under
+                keep.append(k), out.append(a / np.sqrt(a @ a))
     return np.array(keep, np.int64), out
 
 
@@ -125,40 +126,49 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98,
                  sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label).
 
-    Vectors link when their labels are equal and not null and their cosine reaches ``threshold``.
-    Null, empty, zero and non-finite vectors, and such of another length than most, link with nothing. Exact copies are grouped first, so a
-    vector held by a third of all rows costs one comparison. Null ids keep their row without links;
-    rows of one repeated id count as copies of their own. The splits come from at most ``sample_rows`` vectors; a leaf of any
-    size is compared in pairs of blocks of ``block_rows``. No rows give no rows.
+    Vectors link when their labels, of any type, are equal and not null and their cosine reaches
+    ``threshold``. Null, empty, zero and non-finite vectors link with nothing, and vectors of different
+    length do not link. Exact copies are grouped first, so a vector held by a third of all rows costs one
+    comparison. Null ids keep their row without links; each row of a repeated id is a vector of its
+    own. The splits come from at most ``sample_rows`` vectors of the commonest length; vectors of other
+    lengths form one leaf by label and length. A leaf of any size is compared in pairs of blocks of
+    ``block_rows``. Other columns are not read; no rows give no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
-                          F.col("embedding").cast("array<double>").alias("embedding"))
+    known = F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
+                          F.when(known, F.col("embedding").cast("array<double>")).alias("embedding"))
 
     def clean(batch):
-        keep, unit = unit_rows(batch.column("embedding"))
-        ids, labels = batch.column("vec_id"), batch.column("label")
-        return {"vec_id": ids.take(pa.array(keep)), "label": labels.take(pa.array(keep)), "unit": unit}
-
-    usable = map_batches(rows.filter("label is not null and vec_id is not null"),
-                         "vec_id long, label long, unit array<double>", clean)
-    copies = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
-    heads = scratch.save(copies, "heads")
-    n, dims = heads.count(), heads.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        keep, units = unit_rows(batch.column("embedding"))
+        unit, label = [None] * batch.num_rows, batch.column("label").to_pylist()
+        for k, u in zip(keep.tolist(), units, strict=True):
+            unit[k], label[k] = u, f"{len(u)}:{label[k]}"
+        return {"vec_id": batch.column("vec_id"), "label": label, "unit": unit}
+
+    cleaned = map_batches(rows, "vec_id long, label string, unit array<double>", clean)
+    copies = cleaned.filter("unit is not null").groupBy("label", "unit").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    heads = scratch.save(copies.withColumn("head", F.monotonically_increasing_id()), "heads")
+    dims = heads.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = dims["d"] if dims else 0
-    heads = heads.filter(F.size("unit") == dim)
-    sample = heads.select("unit").orderBy(F.xxhash64("head", "label")).limit(sample_rows).toArrow()
+    common = heads.filter(F.size("unit") == dim)
+    n = common.count()
+    sample = common.select("unit").orderBy(F.xxhash64("least", "label"), "label").limit(sample_rows).toArrow()
     points = np.array(sample.column(0).to_pylist(), np.float64).reshape(-1, max(dim, 1))
-    labels = max(1, heads.select("label").distinct().count())
+    labels = max(1, common.select("label").distinct().count())
     forest = spark.sparkContext.broadcast(Forest(points, -(-n // labels), trees, margin, leaf_rows))
 
     def index(batch):
         x = np.stack(batch.column("unit").to_pylist())
         return {**{c: batch.column(c) for c in ("head", "label", "copies", "unit")}, "leaves": forest.value.leaves(x)}
 
-    indexed = map_batches(heads, "head long, label long, copies long, unit array<double>, leaves array<long>", index)
-    placed = scratch.save(indexed, "placed")
+    kind = "head long, label string, copies long, unit array<double>, leaves array<long>"
+    indexed = map_batches(common, kind, index)
+    rare = heads.filter(F.size("unit") != dim).select(
+        "head", "label", "copies", "unit", F.array(F.lit(-1).cast("long")).alias("leaves"))
+    placed = scratch.save(indexed.unionByName(rare), "placed")
     spread = placed.select("*", F.explode("leaves").alias("leaf"))
     sizes = spread.groupBy("label", "leaf").agg(F.count("*").alias("rows")).filter("rows > 1")
     blocks = F.ceil(F.col("rows") / block_rows).cast("int")
@@ -193,15 +203,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98,
     met = scratch.save(cells.groupBy("label", "leaf", "i", "j").applyInArrow(cell, "a long, b long, n long"), "met")
     parts = components(met.filter("b is not null").select("a", "b"), scratch)
     near = met.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    groups = (heads.select("label", "unit", "head", "copies").join(near, F.col("head") == F.col("a"), "left")
-              .join(parts, F.col("head") == F.col("node"), "left")
-              .select("label", "unit", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"),
-                      F.coalesce("component", "head").alias("component")))
+    found = (heads.select("label", "unit", "head", "copies", "least").join(near, F.col("head") == F.col("a"), "left")
+             .join(parts, F.col("head") == F.col("node"), "left")
+             .select("label", "unit", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"),
+                     F.coalesce("component", "head").alias("part")))
+    smallest = found.groupBy("part").agg(F.min("least").alias("component"))
+    groups = found.join(smallest, "part").select("label", "unit", "links", "component")
     # back to the rows: copies find their group by the vector itself
-    own = usable.join(groups, ["label", "unit"]).select("vec_id", "links", "component")
-    own = own.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    return (rows.select("vec_id").join(own, "vec_id", "left")
-            .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component", "vec_id").alias("component_id"),
-                    F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("vec_id")), F.lit(False))
-                    .alias("kept")))
+    own = cleaned.join(groups, ["label", "unit"], "left")
+    return own.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce("component", "vec_id").alias("component_id"),
+                      F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("vec_id")), F.lit(False))
+                      .alias("kept"))

@@ -6,7 +6,7 @@ import re
 
 from bizcontacts.llm.common import Scratch
 from bizcontacts.llm.jaccard_join import jaccard_components
-from bizcontacts.llm.near_vectors import near_vectors
+from bizcontacts.llm.near_vectors import Forest, near_vectors
 
 
 def smallest_reachable(ids, linked):
@@ -88,3 +88,36 @@ def test_vectors_against_brute_force(spark):
 def test_vectors_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert near_vectors(df, Scratch(spark, "v")).count() == 0
+
+
+def test_labels_lengths_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, "x", 9), (1, b, "x", 9), (2, [2.0, 0.001, 0.0], "x", 9), (3, [0.0, 3.0, 0.001], "x", 9), (4, a, "y", 9),
+            (5, [1.0, 2.0], "x", 9), (6, [1.0, 2.0], "x", 9), (7, [1e200, 2e200], "x", 9), (8, [1.0], "x", 9),
+            (None, a, "x", 9), (9, c, "x", 9), (9, c, "x", 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, head int")
+    got = sorted((tuple(r) for r in near_vectors(df, Scratch(spark, "v")).collect()), key=repr)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 2, 5, True),
+            (6, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True), (None, 0, None, True), (9, 1, 9, True), (9, 1, 9, True)]
+    assert got == sorted(want, key=repr)
+    floats = spark.createDataFrame([(1, a, 1.2), (2, a, 1.7), (3, a, 1.2)], "vec_id long, embedding array<double>, label double")
+    assert {r.vec_id: r.component_id for r in near_vectors(floats, Scratch(spark, "v")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_recall_over_splits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    pairs = 0.9805 * base + np.sqrt(1 - 0.9805 ** 2) * other  # planted just above the threshold
+    x = np.concatenate([base, pairs])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    forest = Forest(x, len(x), 6, 0.015, 64)
+    assert len(forest.cuts) > 100  # leaves are split indeed
+    got = {r.vec_id: r.n_links for r in near_vectors(df, Scratch(spark, "v"), leaf_rows=64).collect()}
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert sum(got[k] for k in got) >= 0.97 * want.sum() and all(got[k] <= want[k] for k in got)
