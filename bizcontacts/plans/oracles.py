@@ -535,9 +535,9 @@ ORACLES: dict[str, str] = {
         planned - success - zero_results - skipped - failed as remaining,
         round((planned - success - zero_results - skipped - failed) * 2.5 / 60.0, 1)::double as eta_hours from a""",
     "q_search_url": with_views(["searches"],
-        f"""w as (select ord, s.language, radius_km - 20 as r, business_type || ' & co/é*~ ' || s.city as q,
+        f"""w as (select ord, s.language, radius_km - 20 as r, concat_ws(' ', business_type || ' & co/é*~', s.city) as q,
              coalesce(city_lat, {dims.DEFAULT_LAT}) as lat, coalesce(city_lon, {dims.DEFAULT_LON}) as lon
-             from searches s left join {CITY} on c.city_key = {norm('s.city')} where s.city is not null)""")
+             from searches s left join {CITY} on c.city_key = {norm('s.city')})""")
         + f""" select ord, '{L.SEARCH_ROOT}' || replace(url_encode(q), '%2F', '/') ||
         case when r > 0 then '/@' || cast(lat::double as varchar) || ',' || cast(lon::double as varchar) || ',' || {zoom('r')} || 'z' else '' end
         || '?hl=' || language as search_url from w""",

@@ -22,35 +22,6 @@ _TYPES = {
 
 LEAD_SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in LEAD_COLUMNS])
 
-DOMAIN_CONTACT_SCHEMA = T.StructType(
-    [
-        T.StructField("website", T.StringType()),
-        T.StructField("company_name", T.StringType()),
-        T.StructField("emails", T.ArrayType(T.StringType())),
-        T.StructField("phones", T.ArrayType(T.StringType())),
-        T.StructField("address", T.StringType()),
-        T.StructField("social_media", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("description", T.StringType()),
-        T.StructField("scraped_date", T.TimestampType()),
-    ]
-)
-
-# Column order of the flat domain export.
-DOMAIN_COLUMNS = (
-    "company_name", "website", "email", "all_emails", "phone", "all_phones", "address",
-    "description", "facebook", "instagram", "linkedin", "twitter", "scraped_date",
-)
-
-PROGRESS_SCHEMA = T.StructType(
-    [
-        T.StructField("city", T.StringType()),
-        T.StructField("keyword", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("rows", T.LongType()),
-    ]
-)
-
 # Words in CSV files that stand for a missing value.
 NA_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

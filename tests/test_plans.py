@@ -16,7 +16,7 @@ def executed(df):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_and_no_python(spark, sf_dir, name):
+def test_no_cross_join_and_no_python_by_row(spark, sf_dir, name):
     plan = executed(QUERIES[name](spark, sf_dir))
     assert not [w for w in UNWANTED if w in plan]
 
