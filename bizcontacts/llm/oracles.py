@@ -70,6 +70,59 @@ folded as (
 select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
 """
 
+OP4 = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+usable as (
+  select * from v where vec_id is not null and label is not null and len(e) > 0
+    and len(list_filter(e, lambda x: x is not null and isfinite(x))) = len(e) and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (
+  select vec_id, vec_id from v union select r.a, l.b from reach r join links l on l.a = r.b)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, min(b) as component_id,
+  vec_id = min(b) as kept
+from v join reach on a = vec_id group by vec_id
+"""
+
+OP6 = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) end as s
+  from worded),
+held as (select doc_id, len(s) as size, hash(unnest(s)) as shingle from sets),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n, x.size + y.size as both_sizes
+  from held x join held y on x.shingle = y.shingle and x.doc_id < y.doc_id
+    and 100 * x.size >= 80 * y.size and 100 * y.size >= 80 * x.size
+  group by x.doc_id, y.doc_id, x.size + y.size),
+near as (select a, b from shared where 100 * n >= 80 * (both_sizes - n)),
+links as (select a, b from near union all select b, a from near),
+reach(a, b) as (
+  select doc_id, doc_id from sets union select r.a, l.b from reach r join links l on l.a = r.b)
+select sets.doc_id, len(s) as n_shingles, min(b) as component_id
+from sets join reach on a = sets.doc_id group by sets.doc_id, len(s)
+"""
+
+# lengths of the template's parts: "### ", ": ", "</turn>" and a line break
+OP9 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as marked(t, r))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(14 + length(regexp_replace(role, '([\\:#\n])', '\\\1', 'g'))
+    + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g'))) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
 _KEY = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -138,4 +191,4 @@ from (select distinct conv_id from conversations) c left join counts n on n.conv
 left join ends e on e.k = n.k
 """
 
-ORACLES = {"op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}
+ORACLES = {"op4_near_vectors": OP4, "op6_jaccard_join": OP6, "op9_chat_format": OP9, "op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}
