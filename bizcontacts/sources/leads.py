@@ -6,7 +6,7 @@ layouts made from it tells which cell belongs to which column. Nothing is read o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fnmatch import fnmatch
 from typing import NamedTuple
 
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizcontacts.functions.text import sanitize_key, search_key
+from bizcontacts.operators.contacts import pin
 from bizcontacts.schemas import LEAD_COLUMNS, LEAD_SCHEMA, NA_WORDS, TIME_FORMAT
 
 # Where a row stands: sorting by these three columns gives file order, then line order.
 LINE_ORDER = ("_file", "_block", "_line")
 # greatest number of columns of a file; a row with more cells is rejected, whatever its header says
 CELLS = 64
+# numbers of columns a line is parsed into, the least that holds its cells; up to CELLS beyond the last
+PARSE_WIDTHS = (4, 8, 16, 32)
 REJECT_COLUMNS = ("file", "block", "line", "reason", "record")
 _SAFE = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
 
@@ -84,15 +87,32 @@ def typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast("double") if isinstance(kind, T.DoubleType) else text
 
 
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a costly value that is evaluated a single time, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _parsed(line: Column, width: int) -> Column:
+    """The first ``width`` cells of one CSV line, and past ``CELLS`` one more, ``...``, if there are others."""
+    names = [f"c{i}" for i in range(width)]
+    over = ["over"] if width == CELLS else []
+    row = F.from_csv(line, ", ".join(f"{n} string" for n in names + over), {"escape": '"', "mode": "PERMISSIVE"})
+    return _once(row, lambda r: F.array(
+        *[r[n] for n in names], *[F.when(r[n].isNotNull(), F.lit("...")) for n in over]))
+
+
 def split_cells(line: Column | str) -> Column:
     """Cells of one CSV line, quoted ones unquoted; trailing empty cells are left off.
 
-    A line with more than ``CELLS`` cells keeps the first of them and one more, ``...``.
+    A line with more than ``CELLS`` cells keeps the first of them and one more, ``...``. Each column that a
+    line lacks is costly, so a line is parsed into a few more columns than its commas allow at most.
     """
     line = F.col(line) if isinstance(line, str) else line
-    names = [f"c{i}" for i in range(CELLS)]
-    row = F.from_csv(line, ", ".join(f"{n} string" for n in [*names, "over"]), {"escape": '"', "mode": "PERMISSIVE"})
-    return _trailing_cut(F.array(*[row[n] for n in names], F.when(row["over"].isNotNull(), F.lit("..."))))
+    commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+    by_width = F
+    for width in PARSE_WIDTHS:
+        by_width = by_width.when(commas < width, _parsed(line, width))
+    return _once(by_width.otherwise(_parsed(line, CELLS)), _trailing_cut)
 
 
 def _trailing_cut(cells: Column) -> Column:
@@ -104,6 +124,8 @@ def _trailing_cut(cells: Column) -> Column:
 def layouts(headers: DataFrame) -> DataFrame:
     """``_file``, ``_names`` -> ``_file``, ``_width``, the cell of each lead column, and the other columns' names and cells.
 
+    Further columns are carried along.
+
     Of columns named alike the first counts as the lead column; later ones, and unnamed ones, get the
     name ``_c`` and their place.
     """
@@ -113,8 +135,8 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.when(n.isNull() | (F.array_position(names, n) <= i), F.concat(F.lit("_c"), i.cast("string")))
         .otherwise(n).alias("name"), (i + 1).alias("cell")))
     other = F.filter(own, lambda o: ~o["name"].isin(*LEAD_COLUMNS))
-    return headers.select("_file", F.size(names).alias("_width"), F.struct(*place.values()).alias("_at"),
-                          other.alias("_others"))
+    return headers.select(*[c for c in headers.columns if c != "_names"], F.size(names).alias("_width"),
+                          F.struct(*place.values()).alias("_at"), other.alias("_others"))
 
 
 def first_lines(lines: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -125,19 +147,23 @@ def first_lines(lines: DataFrame, order: Sequence[str]) -> DataFrame:
     top = Window.partitionBy("_file").orderBy(*order)
     first = lines.where(F.col("_text").rlike(r"\S")).withColumn("_rn", F.row_number().over(top)).where("_rn = 1")
     bare = F.regexp_replace(F.col("_text"), "^\ufeff", "")
-    return first.select("_file", *[F.col(c).alias(f"_head{c}") for c in order], split_cells(bare).alias("_names"))
+    heads = first.select("_file", *[F.col(c).alias(f"_head{c}") for c in order], bare.alias("_text"))
+    return pin(heads, "_names", split_cells("_text")).drop("_text")
 
 
 def place_cells(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """Rows of cells (``_file``, ``_cells``, further columns) as lead columns, ``_other`` and ``_long``.
 
+    Further columns of the layouts follow those of the rows.
+
     ``_other`` maps the names of all other columns to their cells; null where a file has none. ``_long`` is true
     for a row with more cells than its file has columns.
     """
     def cell(at: Column) -> Column:
         return F.get("_cells", at - 1)
 
-    carried = [c for c in rows.columns if c != "_cells"]
+    used = ("_cells", "_file", "_width", "_at", "_others")
+    carried = ["_file", *[c for c in (*rows.columns, *layout.columns) if c not in used]]
     leads = [typed(cell(F.col(f"_at.{f.name}")), f.dataType).alias(f.name) for f in LEAD_SCHEMA.fields]
     other = F.when(F.size("_others") > 0, F.map_from_entries(F.transform(
         "_others", lambda o: F.struct(o["name"], clean_missing(cell(o["cell"]))))))
@@ -149,10 +175,9 @@ def place_cells(rows: DataFrame, layout: DataFrame) -> DataFrame:
 
 def _table_rows(lines: DataFrame) -> DataFrame:
     named = lines.select(F.col("file").alias("_file"), F.col("pos").alias("_line"), F.col("line").alias("_text"))
-    heads = first_lines(named, ["_line"])
-    rows = named.join(heads.select("_file", "_head_line"), "_file").where(
-        (F.col("_line") > F.col("_head_line")) & F.col("_text").rlike(r"\S"))
-    return place_cells(rows.select("_file", "_line", "_text", split_cells("_text").alias("_cells")), layouts(heads))
+    rows = pin(named.where(F.col("_text").rlike(r"\S")), "_cells", split_cells("_text"))
+    # lines are parsed where they are read: one file may hold most of them
+    return place_cells(rows, layouts(first_lines(named, ["_line"]))).where("_line > _head_line")
 
 
 def lead_rows(lines: DataFrame) -> DataFrame:
