@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,16 +130,24 @@ class ChunkIds:
                 self.known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for k in range(0, len(split), 500):
-            part = split[k:k + 500]
-            found = [list(map(self.known.get, pieces)) for pieces in part]
-            new = {p for pieces, ids in zip(part, found, strict=True) for p, i in zip(pieces, ids, strict=True) if i is None}
-            self.learn(new)
-            known = self.known
-            for pieces, ids in zip(part, found, strict=True):
-                yield np.frombuffer(b"".join([known[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]),
-                                    self.dtype)
+        for first in range(0, len(texts), 500):
+            lines = pa.array([(t or "").replace("\n", " ") for t in texts[first:first + 500]], pa.large_string())
+            split = pc.split_pattern(lines, " ")
+            pieces = split.flatten().dictionary_encode()
+            distinct, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+            found = list(map(self.known.get, distinct))
+            new = [k for k, ids in enumerate(found) if ids is None]
+            self.learn({distinct[k] for k in new})
+            for k in new:
+                found[k] = self.known[distinct[k]]
+            ids = np.frombuffer(b"".join(found), self.dtype)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+            starts, taken = (np.cumsum(sizes) - sizes)[at], sizes[at]
+            ends = np.concatenate([[0], np.cumsum(taken)])
+            # the ids of each piece in its place: an offset per piece, and places counted through
+            flat = ids[np.repeat(starts - ends[:-1], taken) + np.arange(ends[-1])]
+            bounds = ends[split.offsets.to_numpy()].tolist()
+            yield from (flat[a:b] for a, b in zip(bounds, bounds[1:]))
 
 
 _CHUNKS: dict[str, ChunkIds] = {}

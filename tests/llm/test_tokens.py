@@ -90,3 +90,22 @@ def test_ids_of_odd_texts():
     for limit in (1_000_000, 50):  # the second memory is emptied again and again
         got = list(ChunkIds(path, limit).texts(odd))
         assert all(g.tolist() == want.encode(o or "", add_special_tokens=False).ids for o, g in zip(odd, got))
+
+
+def test_a_piece_is_looked_up_once_however_often_it_comes():
+    """Look-ups go with the distinct pieces of a batch of texts, not with all pieces."""
+    from bizcontacts.llm.token_files import ChunkIds
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    ids = ChunkIds(tokenizer_file("word_bpe_49k.json"))
+    ids.known = Counted(ids.known)
+    texts = ["the same words again\n" * 200, None, "", "the  words "] * 50
+    want = [ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [got.tolist() for got in ids.texts(texts)] == want
+    assert ids.known.asked <= 10
