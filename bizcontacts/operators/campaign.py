@@ -22,6 +22,7 @@ MINUTES_PER_SEARCH = 2.5
 
 # positions per block: three levels of it cover every 64-bit number
 _BLOCK = 1 << 21
+_LEAST_BLOCK = 1000  # lower ones would need many levels
 
 
 class Variant(NamedTuple):
@@ -81,10 +82,13 @@ def parse_terms(lines: DataFrame, line: str = "line") -> DataFrame:
 def running_total(df: DataFrame, position: str, weight: str, out: str, block: int = _BLOCK) -> DataFrame:
     """Sum of ``weight`` over all rows before each row, ordered by ``position``, a number from 0 on.
 
-    Three levels keep it parallel: windows inside blocks of ``block`` positions, over the totals of as
-    many neighbouring blocks, and over the totals of those. No window holds more than ``block``
-    rows where positions are unique, however sparse they are, and none holds the whole table.
+    Levels keep it parallel: windows inside blocks of ``block`` positions, over the totals of as many
+    neighbouring blocks, over the totals of those, and so on until one block holds all 64-bit positions. No
+    window holds more than ``block`` rows (``_LEAST_BLOCK`` for a lower one) where positions are unique, however
+    sparse they are, and none holds the whole table.
     """
+    block = max(block, _LEAST_BLOCK)
+
     def up(c: str) -> Column:
         return F.expr(f"({c} - pmod({c}, {block})) div {block}")
 
@@ -92,16 +96,24 @@ def running_total(df: DataFrame, position: str, weight: str, out: str, block: in
         rows = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(value).over(rows), F.lit(0))
 
-    blocked = df.withColumn("_b1", up(position)).withColumn("_b2", up("_b1"))
-    blocks = blocked.groupBy("_b1", "_b2").agg(F.sum(weight).alias("_w"))
-    wide = blocks.groupBy("_b2").agg(F.sum("_w").alias("_w")).withColumn("_b3", up("_b2"))
-    wide = wide.select("_b2", before("_b3", "_b2", "_w").alias("_far"))
-    offsets = blocks.select("_b1", "_b2", before("_b2", "_b1", "_w").alias("_near")).join(wide, "_b2")
+    blocked = df.withColumn("_b1", up(position))
+    totals = [blocked.groupBy("_b1").agg(F.sum(weight).alias("_w")).withColumn("_b2", up("_b1"))]
+    k = 2
+    while block ** k < 1 << 63:
+        totals.append(totals[-1].groupBy(f"_b{k}").agg(F.sum("_w").alias("_w")).withColumn(f"_b{k + 1}", up(f"_b{k}")))
+        k += 1
+    offsets = None
+    for n in range(len(totals), 0, -1):
+        near = totals[n - 1].select(f"_b{n}", f"_b{n + 1}", before(f"_b{n + 1}", f"_b{n}", "_w").alias("_near"))
+        if offsets is None:
+            offsets = near.select(f"_b{n}", F.col("_near").alias("_off"))
+        else:
+            offsets = near.join(offsets, f"_b{n + 1}").select(f"_b{n}", (F.col("_near") + F.col("_off")).alias("_off"))
     return (
         blocked.withColumn("_in", before("_b1", position, weight))
-        .join(offsets.select("_b1", (F.col("_near") + F.col("_far")).alias("_off")), "_b1")
+        .join(offsets, "_b1")
         .withColumn(out, F.col("_off") + F.col("_in"))
-        .drop("_b1", "_b2", "_in", "_off")
+        .drop("_b1", "_in", "_off")
     )
 
 

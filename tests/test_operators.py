@@ -141,6 +141,14 @@ def test_running_total(spark, block):
         total += i % 4
 
 
+@pytest.mark.parametrize("block", [2, 10_000])
+def test_running_total_of_positions_far_apart(spark, block):
+    """More than ``block`` ** 3 positions: sums used to begin anew in each such range."""
+    df = frame(spark, [(0, 3), (5, 1), (9 * 10**12, 4), (10**18, 7)], "pos long, w long")
+    got = {r.pos: r.before for r in C.running_total(df, "pos", "w", "before", block).collect()}
+    assert got == {0: 0, 5: 3, 9 * 10**12: 4, 10**18: 8}
+
+
 def test_skip_existing(spark):
     files = frame(spark, [("A", "k", "f1", 1, 50), ("A", "k", "f2", 2, 1), ("B", "k", "f3", 1, 2), ("C", "k", "f4", 1, 19)],
                   "city_key string, keyword_key string, file string, mtime long, rows long")
